@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_mixing": mixing.op6_mixing,
     "op8_sharding": sharding.op8_sharding,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL}
