@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, token_counts, toxicity
+from . import decontamination, mixing, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_mixing": mixing.op6_mixing,
     "op8_sharding": sharding.op8_sharding,

@@ -17,6 +17,7 @@ of the input that are called like a result column are replaced.
 from __future__ import annotations
 
 import math
+import string
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,7 +35,7 @@ LEAST_DOCS = 3
 DRIFT = 0.25
 FIT_ROWS = 20_000  # labelled rows that the curve is fitted on, at most about so many
 MOST_TOKENS = 1_000_000  # of a model that may be broadcast
-EDGES = ".,;:!?|\"'()[]{}<>*_-"
+EDGES = string.punctuation
 
 
 def words(text: str | None) -> list[str]:
