@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding, token_counts, toxicity
+from . import decontamination, embedding_dedup, minhash_dedup, mixing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_mixing": mixing.op6_mixing,
+    "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL}
