@@ -205,50 +205,74 @@ class Index:
         return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, tau: float = TAU) -> DataFrame:
-    """A row for each document and item found in it: doc_id, item_id, score (share of the item's own), overlaps, and the passage's first word."""
+def _best(index: Index, texts: list[str | None]) -> dict[tuple[int, int], tuple]:
+    """(text's place, item) -> score, overlaps, first word, of the best passage."""
+    ws = [words(t) for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(x) for x in ws])))
+    terms = np.fromiter(map(index.terms.get, (w for x in ws for w in x), repeat(-1)), np.int64, int(off[-1]))
+    best: dict = {}
+    for d, a, b in index.passages(terms, off):
+        for i, *f in index.leaks(ws[d][a:b], terms[off[d] + a : min(off[d + 1], off[d] + b)]):
+            if (d, i) not in best or best[d, i][:3] < tuple(f):
+                best[d, i] = (*f, a)
+    return best
+
+
+def _slices(texts, most: int = 4_000_000):
+    """Bounds of runs of texts with about so many characters."""
+    size, lo = 0, 0
+    for i in range(len(texts)):
+        size += len(texts[i].as_py()) if texts[i].is_valid else 0
+        if size > most or i + 1 == len(texts):
+            yield lo, i + 1
+            lo, size = i + 1, 0
+
+
+def _index(spark: SparkSession, benchmark: DataFrame, tau: float):
     n = benchmark.count()
     if n > MOST_ITEMS:
         raise ValueError(f"{n} items are too many to broadcast")
     items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect() if r.text]
-    sent = docs.sparkSession.sparkContext.broadcast(Index(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])), tau))
+    return spark.sparkContext.broadcast(Index(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])), tau))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, tau: float = TAU) -> DataFrame:
+    """A row for each document and item found in it: doc_id, item_id, score (share of the item's own), overlaps, and the passage's first word."""
+    sent = _index(docs.sparkSession, benchmark, tau)
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, score double, question_overlap double, answer_overlap double, first_word int"
 
-    def part(index, ids, texts):
-        ws = [words(t) for t in texts]
-        off = np.concatenate(([0], np.cumsum([len(x) for x in ws])))
-        terms = np.fromiter(map(index.terms.get, (w for x in ws for w in x), repeat(-1)), np.int64, int(off[-1]))
-        best: dict = {}
-        for d, a, b in index.passages(terms, off):
-            for i, *f in index.leaks(ws[d][a:b], terms[off[d] + a : min(off[d + 1], off[d] + b)]):
-                if (d, i) not in best or best[d, i][:3] < tuple(f):
-                    best[d, i] = (*f, a)
-        return [(ids[d], index.ids[i], *f) for (d, i), f in sorted(best.items())]
-
     def run(batches):
         index = sent.value
         for batch in batches:
             if not index.ids:
                 continue
-            rows, size, lo = [], 0, 0
+            rows = []
             ids, texts = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                size += len(texts[i].as_py() or "") if texts[i].is_valid else 0
-                if size > 4_000_000 or i + 1 == batch.num_rows:
-                    rows += part(index, ids[lo : i + 1].to_pylist(), texts[lo : i + 1].to_pylist())
-                    lo, size = i + 1, 0
+            for lo, hi in _slices(texts):
+                own = ids[lo:hi].to_pylist()
+                rows += [(own[d], index.ids[i], *f) for (d, i), f in sorted(_best(index, texts[lo:hi].to_pylist()).items())]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids.type), pa.array(cols[1], pa.int64() if item_type == "bigint" else None), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int32())], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows in which an item leaks, found row by row (so ids may repeat or be null)."""
-    hits = find_leaks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__h")).distinct()
-    return docs.withColumn("__h", F.xxhash64("text")).join(hits, "__h", "left_anti").drop("__h")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, tau: float = TAU) -> DataFrame:
+    """docs without the rows in which an item leaks."""
+    sent = _index(docs.sparkSession, benchmark, tau)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        index = sent.value
+        for batch in batches:
+            texts, keep = batch.column(at), np.ones(batch.num_rows, bool)
+            for lo, hi in _slices(texts):
+                keep[[lo + d for d, _ in _best(index, texts[lo:hi].to_pylist())]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

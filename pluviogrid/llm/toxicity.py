@@ -189,11 +189,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50
 SEGMENT = "array<struct<first:int,last:int,score:double,log10_expected:double>>"
 
 
-def figures(docs: DataFrame, model: Model, segments: bool = False) -> DataFrame:
-    """The columns of docs but the text, with score, what it is made of (f1, f2, f3), n_segments and, on request, the segments."""
+def figures(docs: DataFrame, model: Model, segments: bool = False, keep_text: bool = False) -> DataFrame:
+    """The columns of docs (the text on request), with score, what it is made of (f1, f2, f3), n_segments and, on request, the segments."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ["score", "f1", "f2", "f3", "n_segments", *["segments"] * segments]
-    kept = [c for c in docs.columns if c != "text" and c not in names]
+    kept = [c for c in docs.columns if c != "text" and c not in names] + ["text"] * keep_text
     kinds = [pa.float64()] * 4 + [pa.int32()] + [pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("log10_expected", pa.float64())]))]
     more = [T.StructField(n, T.DoubleType()) for n in names[:4]] + [T.StructField("n_segments", T.IntegerType())] + [T.StructField("segments", T._parse_datatype_string(SEGMENT))] * segments
     schema = T.StructType([docs.schema[c] for c in kept] + more)
@@ -207,9 +207,16 @@ def figures(docs: DataFrame, model: Model, segments: bool = False) -> DataFrame:
                 row = (m.score(f), *f, len(found), [{"first": a, "last": b - 1, "score": s, "log10_expected": e} for a, b, s, e in found] if segments else None)
                 for c, v in zip(cols, row, strict=False):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=[*kept, *names])
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return docs.select(*kept, *[] if keep_text else ["text"]).mapInArrow(run, schema)
+
+
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """docs without the rows whose score reaches the threshold; the model learns from the labels of documents that are not held out."""
+    model = fit(docs, labels, ~held_out(F.col("doc_id")))
+    narrow = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", "text")
+    return figures(narrow, model).where(F.col("score") < threshold).select("__row.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
