@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, minhash_dedup, mixing, sharding, token_counts, toxicity
+from . import decontamination, embedding_dedup, minhash_dedup, mixing, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op8_sharding": sharding.op8_sharding,
