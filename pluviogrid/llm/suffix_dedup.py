@@ -32,6 +32,7 @@ from .exchange import MESSAGE, chunked, inbox, messages, pack, split, unique_pai
 
 LENGTH = 200
 KGRAM = 32
+SLICE = 262_144  # bytes that are fingerprinted at a time, or one text
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = [int(x) | 1 for x in mix64(np.arange(300, 340, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
@@ -42,6 +43,7 @@ def fingerprints(raw: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarra
     out, level, h = {}, 1, _BYTE[raw]
     parts: dict[int, np.ndarray] = {1: h}
     most = max(sizes)
+    needed = {1 << b for s in sizes for b in range(s.bit_length()) if s >> b & 1}
     k = 0
     while level * 2 <= most:
         n = len(h) - level
@@ -50,7 +52,8 @@ def fingerprints(raw: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarra
         g = h[:n] * np.uint64(_STEP[k])
         g += h[level : level + n]
         level, h, k = level * 2, g, k + 1
-        parts[level] = h
+        if level in needed:
+            parts[level] = h
     for s in sizes:
         bits = [1 << b for b in range(s.bit_length() - 1, -1, -1) if s >> b & 1]
         n = len(raw) - s + 1
@@ -83,22 +86,35 @@ class Segments:
     """Segments of all the texts of a chunk: first window, windows, anchor's place, and the two keys."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int, kgram: int):
+        parts, lo = [], 0
+        while lo < len(offsets) - 1:  # some documents at a time, so that arrays stay small
+            hi = lo + 1
+            while hi < len(offsets) - 1 and offsets[hi + 1] - offsets[lo] <= SLICE:
+                hi += 1
+            parts.append(self._of(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], int(offsets[lo]), length, kgram))
+            lo = hi
+        self.first, self.windows, self.place, self.anchor, self.content = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else self._none()
+
+    @staticmethod
+    def _none():
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+
+    @classmethod
+    def _of(cls, raw: np.ndarray, offsets: np.ndarray, base: int, length: int, kgram: int):
         n = np.maximum(0, np.diff(offsets) - length + 1)
-        self.starts = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        if not len(self.starts):
-            self.first = self.windows = self.place = np.zeros(0, np.int64)
-            self.anchor = self.content = np.zeros(0, np.uint64)
-            return
+        starts = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if not len(starts):
+            return cls._none()
         fp = fingerprints(raw, (kgram, length))
-        at = window_minima(fp[kgram], length - kgram + 1)[self.starts]
+        at = window_minima(fp[kgram], length - kgram + 1)[starts]
         new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (self.starts[1:] != self.starts[:-1] + 1)
+        new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
         run = np.flatnonzero(new)
-        self.windows = np.diff(np.concatenate((run, [len(at)])))
-        self.first, self.place = self.starts[run], at[run]
-        self.anchor = fp[kgram][self.place]
-        last = self.first + self.windows - 1
-        self.content = mix64(fp[length][self.first] ^ mix64(fp[length][last] + self.windows.astype(np.uint64)) + (self.place - self.first).astype(np.uint64))
+        windows = np.diff(np.concatenate((run, [len(at)])))
+        first, place = starts[run], at[run]
+        last = first + windows - 1
+        content = mix64(fp[length][first] ^ mix64(fp[length][last] + windows.astype(np.uint64)) + (place - first).astype(np.uint64))
+        return first + base, windows, place + base, fp[kgram][place], content
 
 
 class LogIndex:
@@ -180,9 +196,16 @@ def answer_segments(rows: pa.Table) -> pa.Table:
 
 def _windows(raw: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     """Fingerprints of all windows of the segments whose bytes follow each other in raw."""
-    start = np.cumsum(windows + length - 1) - (windows + length - 1)
-    at = np.repeat(start - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    return fingerprints(raw, (length,))[length][at] if len(at) else np.zeros(0, np.uint64)
+    size = windows + length - 1
+    ends = np.cumsum(size)
+    out, lo = [], 0
+    while lo < len(windows):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE)))
+        base, w = ends[lo] - size[lo], windows[lo:hi]
+        at = np.repeat(ends[lo:hi] - size[lo:hi] - base - (np.cumsum(w) - w), w) + np.arange(w.sum())
+        out.append(fingerprints(raw[base : ends[hi - 1]], (length,))[length][at])
+        lo = hi
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def answer_windows(rows: pa.Table, length: int) -> pa.Table:
