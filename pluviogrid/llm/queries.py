@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, lm_scoring, minhash_dedup, mixing, sharding, suffix_dedup, token_counts, toxicity
+from . import decontamination, embedding_dedup, lm_scoring, minhash_dedup, mixing, passage_dedup, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_passage_dedup": passage_dedup.op2_passage_dedup,
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
