@@ -13,7 +13,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Python workers get at most so many bytes at a time in this session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("bB")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, f"{most}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, read by Spark only."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,7 +63,7 @@ class WordHash(dict):
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def forget(self, most: int = 300_000) -> None:
+    def forget(self, most: int = 60_000) -> None:
         if len(self) > most:
             self.clear()
 
