@@ -49,50 +49,37 @@ def dequantise(codes: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence of uint64: low bits packed, high bits in unary; both are arrays of bytes that may be mapped."""
+    """A monotone sequence of uint64: whole low bytes in rows, high bits in unary; both are arrays of bytes that may be mapped."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+        self.n, self.low_bits, self.high = n, low_bits, high
+        self.low = low.reshape(n, low_bits // 8)
         self._starts = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
-        v = values.astype(np.uint64)
+        v = np.ascontiguousarray(values, np.dtype("<u8"))
         n = len(v)
         most = int(v[-1]) if n else 0
-        bits = max(0, (most // n).bit_length() - 1) if n else 0
-        if bits:
-            mask = np.uint64((1 << bits) - 1)
-            shifts = np.arange(bits, dtype=np.uint64)
-            low = np.concatenate([np.packbits((((v[i : i + 65536] & mask)[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel()) for i in range(0, n, 65536)])
-        else:
-            low = np.zeros(0, np.uint8)
+        bits = min(56, 8 * -(-((most // n).bit_length() - 1) // 8)) if n and most > n else 0
+        low = np.ascontiguousarray(v.view(np.uint8).reshape(n, 8)[:, : bits // 8]).ravel()
         ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(ones[-1]) + 8) // 8 if n else 0, np.uint8)
         np.bitwise_or.at(high, ones >> 3, (0x80 >> (ones & 7)).astype(np.uint8))
         return cls(n, bits, low, high)
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits], np.int64), self.low, self.high]
+        return [np.array([self.n, self.low_bits], np.int64), self.low.ravel(), self.high]
 
     @classmethod
     def of(cls, arrays: list[np.ndarray]) -> EliasFano:
         return cls(int(arrays[0][0]), int(arrays[0][1]), arrays[1], arrays[2])
 
     def _low(self, at: np.ndarray) -> np.ndarray:
-        """The low bits of the values at those places."""
-        if not self.low_bits or not len(at):
-            return np.zeros(len(at), np.uint64)
-        first = at * self.low_bits
-        byte = first >> 3
-        need = (self.low_bits + 14) // 8
-        window = np.zeros((len(at), need), np.uint8)
-        for j in range(need):
-            window[:, j] = self.low[np.minimum(byte + j, len(self.low) - 1)]
-        bits = np.unpackbits(window, axis=1)
-        col = (first & 7)[:, None] + np.arange(self.low_bits)
-        got = np.take_along_axis(bits, col, axis=1).astype(np.uint64)
-        return (got << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        """The low bytes of the values at those places."""
+        out = np.zeros((len(at), 8), np.uint8)
+        out[:, : self.low_bits // 8] = self.low[at]
+        return out.view(np.dtype("<u8")).ravel()
 
     def _directory(self) -> tuple[np.ndarray, np.ndarray]:
         """The high part of each value, and the place where each high part begins."""
@@ -108,12 +95,10 @@ class EliasFano:
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value >= x (n if there is none), for each x: select on the high bits, then a search among the few with the same."""
         _, starts = self._directory()
-        h = (x >> np.uint64(self.low_bits)).astype(np.int64)
-        h = np.minimum(h, len(starts) - 2)
+        h = np.minimum(x >> np.uint64(self.low_bits), np.uint64(len(starts) - 2)).astype(np.int64)
         lo, hi = starts[h], starts[h + 1]
         low = x & np.uint64((1 << self.low_bits) - 1)
         todo = np.flatnonzero(lo < hi)
-        lo, hi = lo.copy(), hi.copy()
         while len(todo):
             mid = (lo[todo] + hi[todo]) // 2
             less = self._low(mid) < low[todo]
@@ -131,6 +116,18 @@ class EliasFano:
         return np.where(ok, at, -1)
 
 
+def squeeze(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts as bytes, and places and values of those that need more."""
+    big = np.flatnonzero(counts > 254)
+    return np.minimum(counts, 255).astype(np.uint8), big.astype(np.uint32), counts[big].astype(np.uint32)
+
+
+def expand(small: np.ndarray, places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[places] = values
+    return out
+
+
 class Shard:
     """The levels of one shard's contexts."""
 
@@ -143,7 +140,7 @@ class Shard:
 
     @staticmethod
     def build(context: np.ndarray, count: np.ndarray, of: np.ndarray, word: np.ndarray, times: np.ndarray) -> bytes:
-        """context: ascending hashes with counts as tokens; of, word, times: bigrams by place of the context and hash of the word, in order."""
+        """context: ascending hashes with counts as tokens; of, word, times: bigrams by place of the context and fingerprint of the word, in order."""
         vocabulary, ids = np.unique(word, return_inverse=True)
         seen = np.bincount(of, times, len(context))
         kinds = np.bincount(of, minlength=len(context))
@@ -172,11 +169,12 @@ class Shard:
             return np.zeros(len(h), np.int64), np.zeros(len(h), np.uint8)
         return np.where(at >= 0, self.counts[at], 0), np.where(at >= 0, self.weights[at], 0).astype(np.uint8)
 
-    def bigrams(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of the discounted probabilities."""
+    def bigrams(self, context: np.ndarray, of: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Codes of the discounted probabilities of bigrams, by place of their context's hash in context."""
         if not self.successors.n:
             return np.zeros(len(word), np.uint8)
-        u, v = self.contexts.find(context), self.vocabulary.find(word)
+        kinds, which = np.unique(word, return_inverse=True)
+        u, v = self.contexts.find(context)[of], self.vocabulary.find(kinds)[which]
         ok = np.flatnonzero((u >= 0) & (v >= 0))
         at = self.successors.find(u[ok].astype(np.uint64) * np.uint64(max(1, self.vocabulary.n)) + v[ok].astype(np.uint64))
         begin, end = self.pointers.get(u[ok]).astype(np.int64), self.pointers.get(u[ok] + 1).astype(np.int64)
@@ -190,6 +188,11 @@ def held_out(doc_id: Column, modulus: int = 7, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
+def fingerprint(words: np.ndarray) -> np.ndarray:
+    """40 bits of a word's hash, which tell it from other successors of one context; words as tokens and contexts keep all 64."""
+    return words >> np.uint64(24)
+
+
 class Chunk:
     """Distinct words and bigrams of some texts: words (ascending hashes), token (place of each token's word), bigram (place of each token's bigram)."""
 
@@ -223,18 +226,30 @@ class Chunk:
         return list(zip(split(of, shards), split(of[self.before], shards), strict=True))
 
 
+def pack_request(words, counts, of, successors, times) -> bytes:
+    """Words, their counts, and for each word in turn its successors with their counts."""
+    kinds = np.bincount(of, minlength=len(words)).astype(np.uint32)
+    return pack(words, *squeeze(counts), *squeeze(kinds), (successors & np.uint64(0xFFFFFFFF)).astype(np.uint32), (successors >> np.uint64(32)).astype(np.uint8), *squeeze(times))
+
+
+def unpack_request(data: bytes):
+    a = unpack(data)
+    of = np.repeat(np.arange(len(a[0])), expand(*a[4:7]))
+    return a[0], expand(*a[1:4]), of, a[7].astype(np.uint64) | a[8].astype(np.uint64) << np.uint64(32), expand(*a[9:12])
+
+
 def build_shard(rows: pa.Table) -> pa.Table:
     """One row with the levels of the shard, out of all that chunks ask and count."""
     shard, words, counts, left, right, times = None, [], [], [], [], []
     for shard, _, _, data in inbox(rows):  # noqa: B007
-        w, c, at, v, t = unpack(data)
+        w, c, at, v, t = unpack_request(data)
         trained = c > 0
         words.append(w[trained]), counts.append(c[trained])
         trained = t > 0
         left.append(w[at[trained]]), right.append(v[trained]), times.append(t[trained])
     words, counts, left, right, times = (np.concatenate(x) for x in (words, counts, left, right, times))
     order, first = unique_pairs(left, right)
-    a, b, n = left[order][first], right[order][first], np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    a, b, n = left[order][first], right[order][first], np.add.reduceat(times[order], first) if len(first) else np.zeros(0, np.int64)
     context = np.unique(np.concatenate((words, a)))
     count = np.bincount(np.searchsorted(context, words), counts, len(context)).astype(np.int64)
     return messages([(shard, -1, 2, Shard.build(context, count, np.searchsorted(context, a), b, n))])
@@ -248,8 +263,9 @@ def answer(rows: pa.Table, model: pa.Table) -> pa.Table:
     own = np.array([levels.counts.sum(), (levels.counts > 0).sum()], np.int64)
     out = []
     for shard, chunk, _, data in inbox(rows):
-        w, _, at, v, _ = unpack(data)
-        out.append((shard, chunk, 1, pack(own, *levels.words(w), levels.bigrams(w[at], v))))
+        w, _, at, v, _ = unpack_request(data)
+        counts, weights = levels.words(w)
+        out.append((shard, chunk, 1, pack(own, *squeeze(counts), weights, levels.bigrams(w, at, v))))
     return messages(out)
 
 
@@ -261,7 +277,7 @@ def _requests(rows: DataFrame, shards: int) -> DataFrame:
         times = np.bincount(c.bigram, trained, len(c.pairs)).astype(np.uint32)
         chunk, out = t.column("chunk")[0].as_py(), []
         for s, (w, p) in enumerate(c.by_shard(shards)):
-            out.append((s, chunk, 0, pack(c.words[w], counts[w], np.searchsorted(w, c.before[p]).astype(np.uint32), c.words[c.after[p]], times[p])))
+            out.append((s, chunk, 0, pack_request(c.words[w], counts[w], np.searchsorted(w, c.before[p]), fingerprint(c.words[c.after[p]]), times[p])))
         return messages(out)
 
     return rows.groupBy("chunk").applyInArrow(ask, MESSAGE)
@@ -290,9 +306,9 @@ def score(docs: DataFrame, out: Column) -> DataFrame:
         box = {shard: unpack(data) for shard, _, _, data in inbox(answers)}
         total = distinct = 0
         for s, (w, p) in enumerate(c.by_shard(n)):
-            own, counts, weights, codes = box[s]
+            own, *counts, weights, codes = box[s]
             total, distinct = total + int(own[0]), distinct + int(own[1])
-            count[w], weight[w], code[p] = counts, weights, codes
+            count[w], weight[w], code[p] = expand(*counts), weights, codes
         unigram = (count + 1) / (total + distinct + 1)
         back = dequantise(weight)
         back[weight == 0] = 1.0
