@@ -1,6 +1,6 @@
 """Zarr stores (version 2, uncompressed or zlib chunks): a Spark data source, a writer and a probe.
 
-    spark.dataSource.register(ZarrSource)
+    register(spark)
     spark.read.format("zarr").option("path", "/data/cube.zarr").option("variable", "RAIN").load()
 
 One partition reads one chunk; a filter on a dimension's index prunes chunks before any is read.
@@ -101,6 +101,12 @@ class ZarrSource(DataSource):
         return ZarrReader(self.options)
 
 
+def register(spark) -> None:
+    """Makes the format known to a session, and lets it push filters to the reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ZarrSource)
+
+
 def write_zarr(df: DataFrame, path: str, variable: str, dims: list[str], shape: list[int], chunks: list[int], fill: float = 1e20, consolidated: bool = True) -> None:
     """Chunks of a long table (index columns and value) as uncompressed float32: one group of rows is one chunk file, so retries write the same bytes.
 
