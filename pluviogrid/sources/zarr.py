@@ -79,7 +79,9 @@ class ZarrReader(DataSourceReader):
         data = data[tuple(slice(0, min(c, n - s)) for c, n, s in zip(chunks, shape, start))].astype(np.float64)
         where = np.indices(data.shape).reshape(data.ndim, -1)
         value = data.ravel()
-        missing = np.isnan(value) | (value == float(fill) if isinstance(fill, (int, float)) and fill is not None and fill != 0 else False)
+        missing = np.isnan(value)
+        if isinstance(fill, (int, float)) and fill:  # a fill of 0 is a value
+            missing |= value == float(np.asarray(fill, kind))
         cols = [pa.array(w + s, pa.int32()) for w, s in zip(where, start)] + [pa.array(value, pa.float64(), mask=missing)]
         yield pa.RecordBatch.from_arrays(cols, names=[*self.dims, "value"])
 
