@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import densify
+from ..shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,6 +64,7 @@ def query(name: str, columns: str, sql: str | None = None):
 
     def put(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             d = f(spark, sf_dir)
             return d.select(*((F.round(F.col(c).cast("double"), 6) + 0.0 if t == "d" else F.col(c).cast(_TYPES[t])).alias(c) for c, t in cols))
 
