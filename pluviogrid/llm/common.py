@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Broadcast at most so many rows of narrow keys; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -24,6 +26,7 @@ def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder, read by Spark only."""
     small_batches(spark)
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

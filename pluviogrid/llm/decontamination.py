@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import table
 
 TAU = 0.6
@@ -229,6 +230,7 @@ def _slices(texts, most: int = 4_000_000):
 
 
 def _index(spark: SparkSession, benchmark: DataFrame, tau: float):
+    ship(spark)
     n = benchmark.count()
     if n > MOST_ITEMS:
         raise ValueError(f"{n} items are too many to broadcast")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import cut, hinted, table
 from .components import connected_components
 
@@ -96,6 +97,7 @@ def _components_in_block(mask: np.ndarray) -> list[tuple[int, int]]:
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding)."""
+    ship(vectors.sparkSession)
     rows = vectors.select("vec_id", "embedding")
     own = cut(classes(rows))
     n = own.count()

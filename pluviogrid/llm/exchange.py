@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import as_binary
 
 CHUNK_BYTES = 4_000_000
@@ -24,6 +25,7 @@ _NAMES = ["shard", "chunk", "kind", "data"]
 
 def chunked(docs: DataFrame, columns: list[str | Column], chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """chunk, the columns and the text as bytes, dealt out by chunk; and the number of chunks, which is used for shards too."""
+    ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(LEAST_CHUNKS, -(-total // chunk_bytes))
     own = [F.col(c) if isinstance(c, str) else c for c in columns]

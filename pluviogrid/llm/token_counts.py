@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .common import as_binary, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -108,6 +109,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | list
     pieces = read_vocabulary(vocabulary) if isinstance(vocabulary, str) else list(vocabulary)
     if len(pieces) > MOST_PIECES:
         raise ValueError(f"{len(pieces)} pieces are too many to broadcast")
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
     key = hash(tuple(pieces))
     kept = [c for c in docs.columns if c != text_col and c not in ADDED]

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .common import hinted, table
 
 PREFIX = 5  # letters
@@ -126,6 +127,7 @@ def token_statistics(rows: DataFrame) -> DataFrame:
         if kept:
             yield out()
 
+    ship(rows.sparkSession)
     counts = rows.select("text", "y").mapInArrow(run, "token string, toxic long, other long, occurs long")
     return counts.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "other", "occurs")))
 
@@ -191,6 +193,7 @@ SEGMENT = "array<struct<first:int,last:int,score:double,log10_expected:double>>"
 
 def figures(docs: DataFrame, model: Model, segments: bool = False, keep_text: bool = False) -> DataFrame:
     """The columns of docs (the text on request), with score, what it is made of (f1, f2, f3), n_segments and, on request, the segments."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ["score", "f1", "f2", "f3", "n_segments", *["segments"] * segments]
     kept = [c for c in docs.columns if c != "text" and c not in names] + ["text"] * keep_text
