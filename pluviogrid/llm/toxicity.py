@@ -31,8 +31,10 @@ from .common import hinted, table
 
 PREFIX = 5  # letters
 PRIOR = 300.0  # documents
-LEAST_Z = 3.0
+LEAST_Z = 2.5
+FALSE_SHARE = 0.5  # of significant tokens that may be so by chance; the z-score asked for rises with the number of tokens tested
 LEAST_DOCS = 3
+LEAST_ODDS = 0.7
 DRIFT = 0.25
 FIT_ROWS = 20_000  # labelled rows that the curve is fitted on, at most about so many
 MOST_TOKENS = 1_000_000  # of a model that may be broadcast
@@ -148,10 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
     a, b = F.col("toxic") + prior, F.col("other") + prior
     odds = F.log(a / (F.lit(nt + PRIOR) - a)) - F.log(b / (F.lit(no + PRIOR) - b))
     z = odds / F.sqrt(1 / a + 1 / b)
-    good = stats.where("token != ''").where((a < nt + PRIOR) & (b < no + PRIOR)).select("token", "occurs", odds.alias("odds"), z.alias("z")).where(f"z >= {LEAST_Z} and odds > 0.7")
-    n = good.count()
-    if n > MOST_TOKENS:
-        raise ValueError(f"{n} significant tokens are too many to broadcast")
+    tested = stats.where("token != ''").where((a < nt + PRIOR) & (b < no + PRIOR)).select("token", "occurs", odds.alias("odds"), z.alias("z"))
+    steps = [LEAST_Z + 0.25 * i for i in range(150)]
+    n, *held = tested.agg(F.count("*"), *(F.count_if((F.col("z") >= x) & (F.col("odds") > LEAST_ODDS)) for x in steps)).first()
+    least = next((x for x, k in zip(steps, held, strict=True) if n * math.erfc(x / math.sqrt(2)) / 2 <= FALSE_SHARE * k and k <= MOST_TOKENS), None)
+    good = tested.where((F.col("z") >= (least or 1e9)) & (F.col("odds") > LEAST_ODDS))
     found = {r.token: (r.odds, r.occurs) for r in good.collect()}
     model = Model(odds={k: v[0] for k, v in found.items()}, base=nt / (nt + no))
     if not found:
