@@ -71,7 +71,7 @@ def codes(x: np.ndarray, k: int, tables: int, seed: int = 9) -> np.ndarray:
 def classes(vectors: DataFrame) -> DataFrame:
     """id (smallest), copies and the vector of each distinct valid embedding, with its two hashes."""
     good = F.expr("vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x != 0)")
-    return vectors.where(F.coalesce(good, F.lit(False))).groupBy(*_key()).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    return vectors.where(F.coalesce(good, F.lit(False))).groupBy(*_key()).agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
 
 
 def _key():

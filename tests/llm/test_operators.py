@@ -553,3 +553,15 @@ def test_embedding_blocks(spark, monkeypatch):
     rows = [(i, [float(v) for v in base + rng.standard_normal(16) * 0.02]) for i in range(120)]
     got = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(119, 0)}
+
+
+def test_narrow_ids(spark):
+    """Ids of a narrower type than long."""
+    base = " ".join(f"w{i}" for i in range(80))
+    d = spark.createDataFrame([(1, base), (2, base + " x"), (3, "alone")], "doc_id int, text string")
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(d).collect()} == {1: 1, 2: 1, 3: 3}
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id int, embedding array<float>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(e).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+    assert {r.doc_id for r in suffix_dedup.remove_repeats(d, 20, 6).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in lm_scoring.score(d, F.lit(False)).collect()} == {1, 2, 3}
+    assert {(r.doc_id, r.other_doc_id) for r in passage_dedup.repeated_passages(d).collect()} == {(2, 1)}
