@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import cut, table, text_bytes
 
 SEED = 6
 PART = 64.0
@@ -42,8 +42,10 @@ def rates(docs: DataFrame, weights: dict | None = None, power: float = 0.5) -> D
         for k, v in weights.items():
             listed = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(listed)
         own = own.withColumn("w", listed)
-    total = own.agg(F.sum("bytes").alias("all_bytes"), F.sum("w").alias("all_w"))
-    r = own.crossJoin(F.broadcast(total)).select("source", (F.col("w") / F.nullif(F.col("all_w"), F.lit(0.0)) * F.col("all_bytes") / F.col("bytes")).alias("rate"))  # total is one row
+    own = cut(own)  # a row for each source
+    all_bytes, all_w = own.agg(F.sum("bytes"), F.sum("w")).first()
+    share = F.col("w") / F.lit(all_w) if all_w else F.lit(0.0)
+    r = own.select("source", (share * F.lit(float(all_bytes or 0)) / F.col("bytes")).alias("rate"))
     r = r.withColumn("rate", F.coalesce("rate", F.lit(0.0))).withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")).withColumn("mean", F.col("rate") / F.col("parts"))
     cdf = "aggregate(sequence(1, cast(mean + 12 * sqrt(mean) + 30 as int)), named_struct('p', exp(-mean), 'c', array(exp(-mean))), (s, k) -> named_struct('p', s.p * mean / k, 'c', array_append(s.c, element_at(s.c, -1) + s.p * mean / k)), s -> s.c)"
     return r.withColumn("cdf", F.expr(cdf)).select("source", "rate", "parts", "cdf")
