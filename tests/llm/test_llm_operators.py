@@ -433,6 +433,16 @@ def test_passages_odd(spark, odd, empty):
     assert passage_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_verify_every_candidate():
+    """Equal min-hashes prove no similarity: a document between the nearest and the farthest that agree is a candidate too."""
+    rng = random.Random(6)
+    w = passage_dedup.Windows([9], [" ".join(words(rng, 80)).encode()], 46)
+    n = len(w.value)
+    told = [np.repeat(np.arange(n), 3), np.tile([1, 2, 3], n), np.repeat(w.pivot, 3), np.tile([0, 1, 2], n)]
+    got = passage_dedup.candidates(w, np.arange(n), np.arange(n), told)
+    assert {(c[3], c[1], c[2]) for c in got} == {(i, 0, 30) for i in (1, 2, 3)}
+
+
 def test_compact_windows_cover_every_start():
     rng = random.Random(4)
     texts = [" ".join(words(rng, n, 50)) for n in (50, 51, 200, 400)]
