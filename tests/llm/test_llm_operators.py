@@ -427,6 +427,31 @@ def test_passages(spark):
         assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9
 
 
+def test_passages_templated_family(spark):
+    """Every passage that an earlier document has to the letter is found, whichever member of a family with a shared template has it."""
+    rng = random.Random(12)
+    template, tails = words(rng, 24), [words(rng, 16) for _ in range(12)]
+    texts = []
+    for _ in range(240):
+        a, b = rng.sample(range(12), 2)
+        texts.append(" ".join([*words(rng, 15, 10**6), f"n{rng.randrange(9)}", *tails[a], *template, f"m{rng.randrange(9)}", *tails[b], f"k{rng.randrange(9)}", *words(rng, 15, 10**6)]))
+    rows = passage_dedup.repeated_passages(frame(spark, texts)).collect()
+    covered = defaultdict(set)
+    for r in rows:
+        covered[r.doc_id].update(range(r.first_word, r.end_word - 49))
+    seen, lost, n = {}, 0, 0
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        for k, g in enumerate(grams):
+            if g in seen:
+                n += 1
+                lost += k not in covered[i]
+        for g in grams:
+            seen.setdefault(g, i)
+    assert n > 50 and lost == 0
+
+
 def test_passages_odd(spark, odd, empty):
     rows = passage_dedup.repeated_passages(odd).collect()
     assert {(r.doc_id, r.other_doc_id) for r in rows} >= {(5, 4)} and {r.doc_id for r in rows} == {5, 6, 7}
