@@ -37,7 +37,7 @@ _ES = f"(CASE WHEN {_T} <= 0 THEN 6.1078 * pow(10.0, {_T} * 9.5 / ({_T} + 265.5)
 
 def _weather(s, d):
     v = F.col("value")
-    return table(s, d, "events").where("event_id < 5000").select("event_id", (250 + v / 6).alias("t2"), (v / 20000 + 0.001).alias("q2"), (90000 + v * 20).alias("psfc"), (v / 25 - 6).alias("u"), (F.col("event_id") % 13 - 6.5).alias("v"), (200 + v / 8).alias("td"))
+    return table(s, d, "events").select("event_id", (250 + v / 6).alias("t2"), (v / 20000 + 0.001).alias("q2"), (90000 + v * 20).alias("psfc"), (v / 25 - 6).alias("u"), (F.col("event_id") % 13 - 6.5).alias("v"), (200 + v / 8).alias("td"))
 
 
 @query("f15_humidity", "event_id:i e:d es:d rh:d vpd:d wbgt:d at:d dew:d huss:d", f"WITH {_V} SELECT event_id, {_E} AS e, {_ES} AS es, {_E} / 100 / {_ES} * 100 AS rh, {_ES} - {_E} / 100 AS vpd, 0.567 * {_T} + 0.393 * {_E} / 100 + 3.94 AS wbgt, {_T} + 0.33 * {_E} / 100 - 0.7 * 3 + 4.0 AS at, 243.5 * ln({_E} / 611.2) / (17.67 - ln({_E} / 611.2)) + 273.15 AS dew, q2 / (1 + q2) AS huss FROM v")
