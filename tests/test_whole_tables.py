@@ -13,6 +13,7 @@ CUTS = {
     "f22_wind_rose": " WHERE event_id < 5000",
     "f24_change_gauss": " WHERE event_id < 5000",
     "f27_registry": " WHERE event_id < 5000",
+    "j18_missing_days": " WHERE o_custkey % 40 = 0",
 }
 
 
