@@ -14,6 +14,8 @@ CUTS = {
     "f24_change_gauss": " WHERE event_id < 5000",
     "f27_registry": " WHERE event_id < 5000",
     "j18_missing_days": " WHERE o_custkey % 40 = 0",
+    "a08_except": " WHERE s_suppkey % 3 = 0",
+    "j13_as_of_nearest": " AND ts >= TIMESTAMP '2024-01-02'",
 }
 
 
