@@ -171,6 +171,12 @@ def spatial_bootstrap(df: DataFrame, keys: list[str], cells: int, samples: int,
     return drawn.join(df.select(*keys, ts, F.col("cell").cast("long").alias("cell"), col), [*keys, ts, "cell"])
 
 
+def gpd_bootstrap(df: DataFrame, keys: list[str], cells: int, samples: int = 1000, seed: int = 42, ts: str = "ts", col: str = "value") -> DataFrame:
+    """sample, n, xi, sigma: for each spatial sample its own threshold and the fit of its excesses."""
+    drawn = spatial_bootstrap(df, keys, cells, samples, seed, ts, col)
+    return fit_gpd(peaks_over_threshold(drawn, [*keys, "sample"], ts, col), [*keys, "sample"])
+
+
 def idf_bootstrap(maxima: DataFrame, keys: list[str], years: list[float], samples: int, seed: int = 42, col: str = "largest") -> DataFrame:
     """1, 50 and 99 per cent of return levels over GEV fits (L-moments) of maxima drawn with replacement."""
     w = Window.partitionBy(*keys)

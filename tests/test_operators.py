@@ -175,3 +175,18 @@ def test_seed_does_not_depend_on_partitions(spark):
     dists = spark.createDataFrame([(0, [i / 24 for i in range(1, 25)], [0.5, 1.0], [0.5, 1.0], 0.9)], "bin_low int, n_wet_cdf array<double>, value_cdf array<double>, max_cdf array<double>, p_has_wet double")
     run = lambda d: sorted((r.cell, r.sample, r.day_no, tuple(r.steps)) for r in synthesis.method_steps(d, dists, [0.1, 2.0, 9.0], 24, 2).collect())
     assert run(days) == run(days.repartition(7))
+
+
+def test_gpd_bootstrap_refits_every_sample(spark):
+    rng = np.random.default_rng(8)
+    steps = [dt.datetime(y, 1, 1) + dt.timedelta(days=int(i)) for y in range(2000, 2006) for i in range(200)]
+    rows = [(c, t, float(v)) for c in range(4) for t, v in zip(steps, rng.exponential(5.0, len(steps)), strict=True)]
+    df = spark.createDataFrame(rows, "cell long, ts timestamp_ntz, value double")
+    got = {r["sample"]: r for r in extremes.gpd_bootstrap(df, [], 4, 6).collect()}
+    drawn = extremes.spatial_bootstrap(df, [], 4, 6).toPandas()
+    assert sorted(got) == list(range(6))
+    for k, d in drawn.groupby("sample"):
+        u = d.groupby(d.ts.dt.year).value.max().min()
+        x = d.value[d.value >= u].to_numpy() - u
+        assert got[k].n == len(x) and np.allclose((got[k].xi, got[k].sigma), extremes.gpd_fit(x), equal_nan=True)
+    assert len({r.sigma for r in got.values()}) > 1
