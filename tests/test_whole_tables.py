@@ -31,13 +31,3 @@ def test_whole_table(spark, name):
     at = [rel.columns.index(c) for c in cols]
     want = sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=order)
     assert len(got) == len(want) and all(same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
-
-
-def test_pooled_conditional_of_all_cells(spark):
-    con = duckdb.connect()
-    con.sql(f"create view events as select * from '{SF}/events.parquet'")
-    cols = ["run", "cy", "cx", "bin_low", "bin_high", "p"]
-    got = sorted((tuple(r) for r in QUERIES["plan_pooled_conditional"](spark, SF).select(*cols).collect()), key=order)
-    want = sorted(con.sql(f"select {', '.join(cols)} from ({ORACLE_SQL['h09_pooled_histograms']})").fetchall(), key=order)
-    assert len({r[1:3] for r in got}) == 25
-    assert len(got) == len(want) and all(same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
