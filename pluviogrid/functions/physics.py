@@ -11,16 +11,16 @@ from .. import config as C
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = C.EARTH_RADIUS) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; NULL where a coordinate is."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * radius * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def cosine_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = C.EARTH_RADIUS) -> Column:
-    """Great-circle distance by the law of cosines, clamped."""
+    """Great-circle distance by the law of cosines, clamped; NULL where a coordinate is."""
     c = F.sin(F.radians(lat1)) * F.sin(F.radians(lat2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.cos(F.radians(lon2 - lon1))
-    return radius * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+    return radius * F.acos(F.when(c > 1, 1.0).when(c < -1, -1.0).otherwise(c))
 
 
 def unit_xyz(lat: Column, lon: Column) -> tuple[Column, Column, Column]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EARTH_RADIUS
-from ..functions.physics import haversine
+from ..functions.physics import haversine, unit_xyz
 
 
 def present_future(df: DataFrame, keys: list[str], col: str = "value", run: str = "run") -> DataFrame:
@@ -30,30 +33,59 @@ def densify(df: DataFrame, series: DataFrame, keys: list[str], first: str, last:
     return full.join(df, [*keys, ts], "left")
 
 
+def _buckets(lat: Column, lon: Column, side: float, sphere: bool) -> list[Column]:
+    """Bucket numbers of that side: in degrees, or of cubes around the unit sphere, which know neither poles nor a date line."""
+    return [F.floor(c / side).cast("long") for c in (unit_xyz(lat, lon) if sphere else (lat, lon))]
+
+
+def _around(axes: int, reach: int) -> Column:
+    """All offsets of neighbouring buckets."""
+    steps = range(-reach, reach + 1)
+    return F.array(*(F.struct(*(F.lit(v).alias(f"d{i}") for i, v in enumerate(o))) for o in itertools.product(steps, repeat=axes)))
+
+
 def nearest_cell(points: DataFrame, grid: DataFrame, names: list[str], sphere: bool = True, cell_degrees: float = 1.0, reach: int = 1) -> DataFrame:
     """The cell (y, x) nearest to each point, by great circles or in degrees; ties go to the first by (y, x).
 
-    An equi-join on buckets of cell_degrees finds cells within `reach` buckets; the grid must have
-    a cell that near to every point (points without one keep NULL), and longitudes do not wrap.
+    An equi-join on buckets of about cell_degrees finds cells within `reach` buckets. Such a
+    search proves the nearest cell only up to `reach` bucket sides, so points whose best is
+    farther (or that found none) are searched again in buckets four times as large, until none is left or the
+    buckets hold everything. In degrees longitudes do not wrap. NULL coordinates and empty grids give NULL.
     """
-    b = lambda c: F.floor(F.col(c) / cell_degrees).cast("long")
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    g = grid.select("y", "x", F.col("lat").alias("__glat"), F.col("lon").alias("__glon"), b("lat").alias("__by"), b("lon").alias("__bx"))
-    p = points.withColumn("__dy", F.explode(around)).withColumn("__dx", F.explode(around)).withColumns({"__by": b("lat") + F.col("__dy"), "__bx": b("lon") + F.col("__dx")})
-    d = p.join(g, ["__by", "__bx"], "left")
-    dist = haversine(F.col("lat"), F.col("lon"), F.col("__glat"), F.col("__glon")) if sphere else F.sqrt(F.pow(F.col("lat") - F.col("__glat"), 2) + F.pow(F.col("lon") - F.col("__glon"), 2))
-    d = d.withColumn("__d", F.round(dist, 6))
-    best = d.groupBy(*names, "lat", "lon").agg(F.min(F.when(F.col("__d").isNotNull(), F.struct(F.col("__d"), F.col("y"), F.col("x")))).alias("b"))
-    return best.select(*names, "lat", "lon", F.col("b.y").alias("y"), F.col("b.x").alias("x"), F.col("b.__d").alias("distance"))
+    side, whole = (math.radians(cell_degrees), 2.0) if sphere else (cell_degrees, 720.0)
+    axes = 3 if sphere else 2
+    b = [f"__b{i}" for i in range(axes)]
+    dist = (lambda a, o, c, e: haversine(a, o, c, e)) if sphere else (lambda a, o, c, e: F.sqrt(F.pow(a - c, 2) + F.pow(o - e, 2)))
+    todo, out = points.select(*names, "lat", "lon"), None
+    while True:
+        g = grid.select("y", "x", F.col("lat").alias("__glat"), F.col("lon").alias("__glon"), *(c.alias(n) for c, n in zip(_buckets(F.col("lat"), F.col("lon"), side, sphere), b, strict=True)))
+        p = todo.withColumn("__o", F.explode(_around(axes, reach)))
+        p = p.withColumns({n: c + F.col(f"__o.d{i}") for i, (c, n) in enumerate(zip(_buckets(F.col("lat"), F.col("lon"), side, sphere), b, strict=True))})
+        d = p.join(g, b, "left").withColumn("__d", F.round(dist(F.col("lat"), F.col("lon"), F.col("__glat"), F.col("__glon")), 6))
+        best = d.groupBy(*names, "lat", "lon").agg(F.min(F.when(F.col("__d").isNotNull(), F.struct(F.col("__d"), F.col("y"), F.col("x")))).alias("b"))
+        found = best.select(*names, "lat", "lon", F.col("b.y").alias("y"), F.col("b.x").alias("x"), F.col("b.__d").alias("distance"))
+        proven = reach * side * (1 - 1e-9)
+        proven = 2 * EARTH_RADIUS * math.asin(min(1.0, proven / 2)) if sphere else proven
+        known = F.coalesce(F.col("distance") <= proven, F.lit(False)) | F.col("lat").isNull() | F.col("lon").isNull()
+        rest = found.where(~known)
+        if side >= whole or rest.isEmpty():
+            return found if out is None else out.union(found)
+        out = found.where(known) if out is None else out.union(found.where(known))
+        todo, side = rest.select(*names, "lat", "lon"), side * 4
 
 
 def within_distance(a: DataFrame, b: DataFrame, keys: list[str], metres: float) -> DataFrame:
-    """Pairs of rows with equal keys whose (lat_a, lon_a) and (lat_b, lon_b) lie within a distance: joined on bands of latitude, then exactly."""
-    band = metres / EARTH_RADIUS * 180 / 3.141592653589793
-    left = a.withColumn("__d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("__band", F.floor(F.col("lat_a") / band) + F.col("__d")).drop("__d")
-    right = b.withColumn("__band", F.floor(F.col("lat_b") / band))
+    """Pairs of rows with equal keys whose (lat_a, lon_a) and (lat_b, lon_b) lie within a distance.
+
+    Joined on cubes around the unit sphere as wide as the distance's chord, so that a row meets
+    its 27 neighbouring cubes on either axis, at the poles and across the date line alike; then exactly.
+    """
+    side = max(2 * math.sin(min(math.pi, metres / EARTH_RADIUS) / 2) * (1 + 1e-9), 1e-9)
+    n = [f"__b{i}" for i in range(3)]
+    left = a.withColumn("__o", F.explode(_around(3, 1))).withColumns({k: c + F.col(f"__o.d{i}") for i, (c, k) in enumerate(zip(_buckets(F.col("lat_a"), F.col("lon_a"), side, True), n, strict=True))}).drop("__o")
+    right = b.withColumns(dict(zip(n, _buckets(F.col("lat_b"), F.col("lon_b"), side, True), strict=True)))
     d = haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return left.join(right, [*keys, "__band"]).withColumn("distance", d).where(F.col("distance") <= metres).drop("__band")
+    return left.join(right, [*keys, *n]).withColumn("distance", d).where(F.col("distance") <= metres).drop(*n)
 
 
 def as_of_nearest(a: DataFrame, b: DataFrame, keys: list[str], names: list[str], offset_hours: int, tolerance_hours: int, ts: str = "ts") -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.text_dates import season
 from ..operators import dist, events, extremes, filters, interpolation, joins, stats, synthesis, timeagg, windows
 from ..plans import pipelines
 from ..sources import tables
-from .distributions import BLOCK, hist, search, uniform
+from .distributions import _CLIP, _COUNTS, BLOCK, _counts, hist, search, uniform
 from .registry import CUBE, DAILY, GRID, HOURLY, SEASON, cube, daily, grid, hourly, query, table
 from .spells import SPELL
 
@@ -239,12 +239,9 @@ def _(s, d):
     return h.select("bin", relative_change(F.coalesce("future", F.lit(0)), F.coalesce("present", F.lit(0))).alias("change"))
 
 
-@query("plan_pooled_conditional", "run:s bin_low:i bin_high:i p:d", f"WITH {BLOCK}, k AS (SELECT run, bin_low, {hist('largest', C.BINS_HIGH)} AS bin_high, count(*) AS cnt FROM b WHERE n_wet > 0 AND y BETWEEN 1 AND 3 AND x BETWEEN 1 AND 3 GROUP BY ALL) SELECT run, bin_low, bin_high, cnt / sum(cnt) OVER (PARTITION BY run, bin_low) AS p FROM k")
+@query("plan_pooled_conditional", "run:s cy:i cx:i bin_low:i bin_high:i p:d", f"WITH {_COUNTS}, {_CLIP}, g AS (SELECT run, cy, cx, bin_low, bin_high, sum(cnt)::BIGINT AS cnt FROM n GROUP BY ALL) SELECT run, cy, cx, bin_low, bin_high, cnt / sum(cnt) OVER (PARTITION BY run, cy, cx, bin_low) AS p FROM g")
 def _(s, d):
-    from .distributions import _counts
-
-    pooled = dist.pooled_conditional(_counts(s, d), 1, 5, 5, ["run"])
-    return pooled.where("cy = 2 and cx = 2")
+    return dist.pooled_conditional(_counts(s, d), 1, 5, 5, ["run"])
 
 
 @query("plan_blocks", "run:s cell:i block:D total:d largest:d n_wet:i wet_total:d bin_low:i", f"WITH {BLOCK} SELECT run, cell, block, total, largest, n_wet, wet_total, bin_low FROM b")

@@ -29,7 +29,7 @@ def _(s, d):
     return _pts(s, d).select("k", F.round(P.haversine(lat, lon, F.lit(39.56), F.lit(2.74)) / 1000, 3).alias("hav_km"), F.round(P.cosine_distance(lat, lon, F.lit(39.56), F.lit(2.74)) / 1000, 3).alias("cos_km"), x.alias("ux"), y.alias("uy"), z.alias("uz"), F.round(P.wrap_lon(lon * 50), 4).alias("wrapped"), F.round(P.wrap_lon(lon, 0.0), 4).alias("east"), P.tile_suffix(F.floor(k / 3), F.floor(k / 2), 1).alias("suffix"), P.line_through(lat, F.lit(36.0), F.lit(1.0), F.lit(44.0), F.lit(5.0)).alias("line"))
 
 
-_V = "v AS (SELECT event_id, 250 + value / 6 AS t2, value / 20000 + 0.001 AS q2, 90000 + value * 20 AS psfc, value / 25 - 6 AS u, event_id % 13 - 6.5 AS v, 200 + value / 8 AS td FROM events WHERE event_id < 5000)"
+_V = "v AS (SELECT event_id, 250 + value / 6 AS t2, value / 20000 + 0.001 AS q2, 90000 + value * 20 AS psfc, value / 25 - 6 AS u, event_id % 13 - 6.5 AS v, 200 + value / 8 AS td FROM events)"
 _T = "(t2 - 273.15)"
 _E = "(q2 * psfc / (0.62197 + q2))"
 _ES = f"(CASE WHEN {_T} <= 0 THEN 6.1078 * pow(10.0, {_T} * 9.5 / ({_T} + 265.5)) ELSE 6.1078 * pow(10.0, {_T} * 7.5 / ({_T} + 237.3)) END)"

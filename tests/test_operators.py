@@ -106,7 +106,7 @@ def test_nearest_cell_ties(spark):
     grid = spark.createDataFrame([(y, x, float(y), float(x)) for y in range(3) for x in range(3)], "y int, x int, lat double, lon double")
     p = spark.createDataFrame([("a", 0.5, 0.5), ("b", 1.9, 0.1), ("c", 50.0, 50.0)], "name string, lat double, lon double")
     got = {r.name: (r.y, r.x) for r in joins.nearest_cell(p, grid, ["name"], sphere=False).collect()}
-    assert got == {"a": (0, 0), "b": (2, 0), "c": (None, None)}
+    assert got == {"a": (0, 0), "b": (2, 0), "c": (2, 2)}
 
 
 def test_vertical_extrapolates(spark):
@@ -190,3 +190,48 @@ def test_gpd_bootstrap_refits_every_sample(spark):
         x = d.value[d.value >= u].to_numpy() - u
         assert got[k].n == len(x) and np.allclose((got[k].xi, got[k].sigma), extremes.gpd_fit(x), equal_nan=True)
     assert len({r.sigma for r in got.values()}) > 1
+
+
+def test_sphere_nulls(spark):
+    from pluviogrid.functions.physics import cosine_distance, haversine
+
+    d = spark.createDataFrame([(None, 1.0), (1.0, None), (1.0, 1.0)], "a double, b double")
+    for f in (haversine, cosine_distance):
+        got = [r[0] for r in d.select(f(F.col("a"), F.col("b"), F.lit(1.0), F.lit(1.0))).collect()]
+        assert got[:2] == [None, None] and got[2] == pytest.approx(0, abs=0.2)
+
+
+def _great_circle(a, b):
+    p, q, r, s = map(math.radians, (*a, *b))
+    return 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2)))
+
+
+@pytest.mark.parametrize("sphere", [True, False])
+def test_nearest_cell_anywhere(spark, sphere):
+    from pluviogrid.operators import joins
+
+    cells = [(0, 0, 1.99, 1.99), (0, 1, 0.5, 2.05), (1, 0, 80.2, 5.0), (1, 1, 81.0, 4.0), (2, 0, 10.0, 179.9), (2, 1, 11.0, 150.0), (3, 0, -60.0, -100.0)]
+    places = [("a", 0.5, 0.5), ("b", 80.5, 1.0), ("c", 10.0, -179.9), ("d", 89.9, -170.0), ("e", -20.0, 60.0), ("f", -89.0, 10.0)]
+    grid = spark.createDataFrame(cells, "y int, x int, lat double, lon double")
+    points = spark.createDataFrame([*places, ("n", None, 1.0)], "name string, lat double, lon double")
+    got = {r.name: r for r in joins.nearest_cell(points, grid, ["name"], sphere).collect()}
+    far = _great_circle if sphere else lambda a, b: math.hypot(a[0] - b[0], a[1] - b[1])
+    for name, *p in places:
+        want = min(cells, key=lambda c: far(p, c[2:]))
+        assert (got[name].y, got[name].x) == want[:2] and got[name].distance == pytest.approx(far(p, want[2:]))
+    assert got["n"].y is None and got["n"].distance is None and len(got) == 7
+    none = joins.nearest_cell(points, grid.limit(0), ["name"], sphere).collect()
+    assert len(none) == 7 and all(r.distance is None for r in none)
+
+
+def test_within_distance_anywhere(spark):
+    from pluviogrid.operators import joins
+
+    rng = np.random.default_rng(3)
+    p = [(1, i, float(math.degrees(math.asin(2 * u - 1))), float(360 * v - 180)) for i, (u, v) in enumerate(rng.random((120, 2)))]
+    p += [(1, 200, 89.9, 0.0), (1, 201, 89.9, 180.0), (1, 202, 0.0, 179.99), (1, 203, 0.0, -179.99)]
+    for metres in (30_000.0, 1_500_000.0, 30_000_000.0):
+        a = spark.createDataFrame(p, "k int, i int, lat_a double, lon_a double")
+        b = spark.createDataFrame(p, "k int, j int, lat_b double, lon_b double")
+        got = sorted((r.i, r.j) for r in joins.within_distance(a, b, ["k"], metres).collect())
+        assert got == sorted((x[1], y[1]) for x in p for y in p if _great_circle(x[2:], y[2:]) <= metres)
