@@ -332,6 +332,39 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0 and minhash_dedup.deduplicate(empty).count() == 0
 
 
+def test_near_duplicates_of_one_id(spark):
+    """An id on several texts is one document: it is linked wherever one of them is. Ids may be strings."""
+    rng = random.Random(8)
+    a, b, c = (words(rng, 120) for _ in range(3))
+    near = lambda t, k: " ".join([*t[:k], "other", *t[k + 1 :]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a, 40)), (9, near(b, 50)), (5, None), (11, " ".join(c)), (3, "alone with five more words"), (5, " ".join(a))]
+    got = {(r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11), (3, 3)}
+    text = spark.createDataFrame([(f"d{i}", t) for i, t in rows], "doc_id string, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(text).collect()}
+    assert got == {("d5", "d5"), ("d7", "d5"), ("d9", "d5"), ("d11", "d11"), ("d3", "d3")}
+    kept = minhash_dedup.deduplicate(text, 80).collect()
+    assert sorted(r.doc_id for r in kept if r.text) == ["d11", "d3", "d5"] and [r.doc_id for r in kept if not r.text] == ["d5"]
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_near_duplicates_in_large_buckets(spark, monkeypatch, block):
+    """Buckets beyond a block, with many classes that a centre does not reach."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    rng = random.Random(block)
+    base, texts = words(rng, 100), []
+    for _ in range(25):  # families around one template, far from each other
+        own = list(base)
+        for k in rng.sample(range(100), 7):
+            own[k] = f"y{rng.randrange(10**6)}"
+        for _ in range(rng.randrange(1, 6)):
+            t = list(own)
+            t[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame(spark, texts), 85).collect()}
+    assert got == brute_components({i: shingles(t) for i, t in enumerate(texts)}, 85)
+
+
 def test_bayesian_bounds():
     for percent in (80, 85):
         rows = minhash_dedup.band_rows(percent)
