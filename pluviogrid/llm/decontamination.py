@@ -11,10 +11,12 @@ OVERLAP of its five-word shingles with the passage, and its answer OVERLAP of it
 item's answer is the fewest last sentences with five words at least, its question what is
 before them; where that has no five words, both are the whole text.
 
-Items are few by nature and broadcast behind a check of their size (MOST_ITEMS). Null and
-empty texts and items without words match nothing; items with equal texts match together;
-repeated rows give repeated results; an empty table gives an empty result; of docs only
-`doc_id` and the text are read.
+The index is broadcast. Where the items have more than INDEX_BYTES of text, they are dealt into
+groups of about that size, each with an index of its own over statistics of all items, and the
+documents are scanned once for each group; no item is left out at any size. Null and empty texts and
+items without words match nothing; items with equal texts match together; ids may be of any type;
+repeated rows give repeated results; an empty table gives an empty result; of docs only `doc_id`
+and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from itertools import repeat
 
@@ -29,16 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..shipping import ship
-from .common import table
+from .common import cut, table
 
 TAU = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 32
 K1, B = 1.2, 0.75
-MOST_ITEMS = 200_000
+INDEX_BYTES = 8_000_000  # of items' texts in one broadcast index, or one item
 EDGES = string.punctuation
 
 
@@ -62,10 +66,40 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return words(text), words(text)
 
 
+class _Cursor:
+    """A place in a list of postings, which moves by whole blocks."""
+
+    __slots__ = ("at", "block", "doc", "post", "top")
+
+    def __init__(self, post, top: float):
+        self.post, self.top, self.at, self.block, self.doc = post, top, 0, 0, post[0][0]
+
+    def item(self) -> int:
+        return self.doc
+
+    def block_of(self, item: int) -> int:
+        """The first block that may hold that item or a later one (the last one if none does)."""
+        return min(bisect_left(self.post[3], item, self.block), len(self.post[3]) - 1)
+
+    def advance(self, to: int) -> bool:
+        """Moves to the first item >= to; False at the end."""
+        items, lasts = self.post[0], self.post[3]
+        self.block = bisect_left(lasts, to, self.block)
+        if self.block == len(lasts):
+            return False
+        low = self.block * BLOCK
+        self.at = bisect_left(items, to, max(self.at, low), min(len(items), low + BLOCK))
+        self.doc = items[self.at]
+        return True
+
+
 class Index:
-    """Items with words, their parts, and postings whose contributions are shares of the item's own score."""
+    """Items with words, their parts, and postings whose contributions are shares of the item's own score.
 
-    def __init__(self, items: list[tuple[int, str]], tau: float = TAU):
+    totals: number, mean and longest length of all items and how many of them have each term, where `items` is but a group of them.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], tau: float = TAU, totals: tuple[int, float, int, dict[str, int]] | None = None):
         self.tau = tau
         self.ids, self.parts, docs = [], [], []
         for i, text in items:
@@ -73,12 +107,12 @@ class Index:
                 self.ids.append(i)
                 self.parts.append(split_item(text))
                 docs.append(Counter(w))
-        self.longest = max((sum(d.values()) for d in docs), default=1)
-        mean = sum(sum(d.values()) for d in docs) / max(1, len(docs))
-        df = Counter(t for d in docs for t in d)
-        idf = {t: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        if totals is None:
+            totals = len(docs), sum(sum(d.values()) for d in docs) / max(1, len(docs)), max((sum(d.values()) for d in docs), default=1), Counter(t for d in docs for t in d)
+        n_items, mean, self.longest, df = totals
+        idf = {t: math.log(1 + (n_items - n + 0.5) / (n + 0.5)) for t, n in df.items()}
         self.terms = {t: k for k, t in enumerate(sorted(df, key=lambda t: (df[t], t)))}  # the rarest first
-        self.postings: list[tuple[list[int], list[float], list[float]]] = [([], [], []) for _ in self.terms]
+        self.postings: list[tuple[list[int], list[float], list[float], list[int]]] = [([], [], [], []) for _ in self.terms]  # items, shares; largest share and last item of each block
         for i, d in enumerate(docs):
             length = sum(d.values())
             own = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean)) for t, n in d.items()}
@@ -88,7 +122,8 @@ class Index:
                 at[0].append(i), at[1].append(v / whole)
         for at in self.postings:
             at[2].extend(max(at[1][j : j + BLOCK]) for j in range(0, len(at[0]), BLOCK))
-        self.top = [max(at[2]) for at in self.postings]
+            at[3].extend(at[0][min(j + BLOCK, len(at[0])) - 1] for j in range(0, len(at[0]), BLOCK))
+        self.top = [max(at[2], default=0.0) for at in self.postings]
         # terms from `frequent` on may all be absent from the first bound: together they are below tau for every item
         self.common = np.zeros(len(self.ids))
         self.frequent = len(self.terms)
@@ -103,48 +138,40 @@ class Index:
         self.post_share = np.array([v for at in self.postings[: self.frequent] for v in at[1]])
 
     def search(self, query: set[int]) -> list[tuple[int, float]]:
-        """All items with a score of tau at least, by block-max WAND."""
-        lists = [[self.postings[t], 0, self.top[t]] for t in query]
-        lists.sort(key=lambda x: x[0][0][0])
+        """All items with a score of tau at least, by block-max WAND: blocks that cannot hold one are stepped over by their last items alone."""
+        lists = [_Cursor(self.postings[t], self.top[t]) for t in query if self.postings[t][0]]
+        lists.sort(key=_Cursor.item)
         found, tau = [], self.tau - 1e-9
         while lists:
             upper, pivot = 0.0, -1
-            for k, (_, _, top) in enumerate(lists):
-                upper += top
+            for k, x in enumerate(lists):
+                upper += x.top
                 if upper >= tau:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            doc = lists[pivot][0][0][lists[pivot][1]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0][0][lists[pivot + 1][1]] == doc:
+            item = lists[pivot].doc
+            while pivot + 1 < len(lists) and lists[pivot + 1].doc == item:
                 pivot += 1
-            block, until = 0.0, None
-            for post, at, _ in lists[: pivot + 1]:
-                k = at // BLOCK
-                while (k + 1) * BLOCK < len(post[0]) and post[0][(k + 1) * BLOCK - 1] < doc:
-                    k += 1
-                block += post[2][k]
-                end = post[0][min(len(post[0]), (k + 1) * BLOCK) - 1]
-                until = end if until is None else min(until, end)
-            if block >= tau:
-                if lists[0][0][0][lists[0][1]] == doc:
-                    s = sum(post[1][at] for post, at, _ in lists[: pivot + 1])
-                    if s >= tau:
-                        found.append((doc, s))
-                    to = doc + 1
+            ahead = lists[: pivot + 1]
+            blocks = [x.block_of(item) for x in ahead]
+            if sum(x.post[2][k] for x, k in zip(ahead, blocks, strict=True)) >= tau:
+                if lists[0].doc == item:
+                    score = sum(x.post[1][x.at] for x in ahead)
+                    if score >= tau:
+                        found.append((item, score))
+                    to = item + 1
                 else:
-                    to = doc
-            else:
-                to = max(doc, until) + 1
+                    to = item
+            else:  # no item up to the end of the nearest block, or to the next list, can reach tau
+                to = min(x.post[3][k] for x, k in zip(ahead, blocks, strict=True)) + 1
                 if pivot + 1 < len(lists):
-                    to = min(to, lists[pivot + 1][0][0][lists[pivot + 1][1]])
-                to = max(to, doc + 1)
-            for x in lists[: pivot + 1]:
-                ids = x[0][0]
-                while x[1] < len(ids) and ids[x[1]] < to:
-                    x[1] += 1
-            lists = sorted((x for x in lists if x[1] < len(x[0][0])), key=lambda x: x[0][0][x[1]])
+                    to = min(to, lists[pivot + 1].doc)
+                to = max(to, item + 1)
+            moved = [x for x in ahead if x.doc < to]
+            rest = [x for x in ahead if x.doc >= to]
+            lists = sorted([x for x in moved if x.advance(to)] + rest + lists[pivot + 1 :], key=_Cursor.item)  # few runs already in order
         return found
 
     def passages(self, terms: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
@@ -229,52 +256,84 @@ def _slices(texts, most: int = 4_000_000):
             lo, size = i + 1, 0
 
 
-def _index(spark: SparkSession, benchmark: DataFrame, tau: float):
+def _indexes(spark: SparkSession, benchmark: DataFrame, tau: float) -> list:
+    """The broadcast index of each group of items; one where all items fit it."""
     ship(spark)
-    n = benchmark.count()
-    if n > MOST_ITEMS:
-        raise ValueError(f"{n} items are too many to broadcast")
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect() if r.text]
-    return spark.sparkContext.broadcast(Index(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])), tau))
+    items = benchmark.select("item_id", "text").where("length(text) > 0")
+    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    groups = -(-size // INDEX_BYTES)
+    order = lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1])
+    if groups <= 1:
+        return [spark.sparkContext.broadcast(Index(sorted(((r.item_id, r.text) for r in items.collect()), key=order), tau))]
+
+    def terms(batches):
+        for batch in batches:
+            rows = [(g, t, n) for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in [words(text)] if w for t, n in [(None, len(w)), *((t, 1) for t in set(w))]]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["part", "term", "n"])
+
+    items = cut(items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(groups)).cast("int")))
+    t = cut(items.select("part", "text").mapInArrow(terms, "part int, term string, n long"))  # a row without a term has an item's length
+    n_items, mean, longest = t.where("term is null").agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    df = cut(t.where("term is not null").groupBy("term").agg(F.count("*").alias("n")))
+    own = t.where("term is not null").select("part", "term").distinct()
+    out = []
+    for g in range(groups):  # a group and its terms at a time reach the driver
+        counts = {r.term: r.n for r in own.where(F.col("part") == g).join(df, "term").select("term", "n").collect()}
+        rows = sorted(((r.item_id, r.text) for r in items.where(F.col("part") == g).collect()), key=order)
+        if rows and counts:
+            out.append(spark.sparkContext.broadcast(Index(rows, tau, (n_items, mean, longest, counts))))
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, tau: float = TAU) -> DataFrame:
     """A row for each document and item found in it: doc_id, item_id, score (share of the item's own), overlaps, and the passage's first word."""
-    sent = _index(docs.sparkSession, benchmark, tau)
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
-    id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, score double, question_overlap double, answer_overlap double, first_word int"
-
-    def run(batches):
-        index = sent.value
-        for batch in batches:
-            if not index.ids:
-                continue
-            rows = []
-            ids, texts = batch.column(0), batch.column(1)
-            for lo, hi in _slices(texts):
-                own = ids[lo:hi].to_pylist()
-                rows += [(own[d], index.ids[i], *f) for (d, i), f in sorted(_best(index, texts[lo:hi].to_pylist()).items())]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids.type), pa.array(cols[1], pa.int64() if item_type == "bigint" else None), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int32())], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, score double, question_overlap double, answer_overlap double, first_word int"
+
+    def scan(sent):
+        def run(batches):
+            index = sent.value
+            for batch in batches:
+                if not index.ids:
+                    continue
+                rows = []
+                ids, texts = batch.column(0), batch.column(1)
+                for lo, hi in _slices(texts):
+                    own = ids[lo:hi].to_pylist()
+                    rows += [(own[d], index.ids[i], *f) for (d, i), f in sorted(_best(index, texts[lo:hi].to_pylist()).items())]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids.type), pa.array(cols[1], item_type), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int32())], names=names)
+
+        return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+    parts = [scan(sent) for sent in _indexes(docs.sparkSession, benchmark, tau)]
+    out = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, tau: float = TAU) -> DataFrame:
     """docs without the rows in which an item leaks."""
-    sent = _index(docs.sparkSession, benchmark, tau)
     at = docs.columns.index("text")
 
-    def run(batches):
-        index = sent.value
-        for batch in batches:
-            texts, keep = batch.column(at), np.ones(batch.num_rows, bool)
-            for lo, hi in _slices(texts):
-                keep[[lo + d for d, _ in _best(index, texts[lo:hi].to_pylist())]] = False
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def without(rows: DataFrame, sent) -> DataFrame:
+        def run(batches):
+            index = sent.value
+            for batch in batches:
+                texts, keep = batch.column(at), np.ones(batch.num_rows, bool)
+                for lo, hi in _slices(texts):
+                    keep[[lo + d for d, _ in _best(index, texts[lo:hi].to_pylist())]] = False
+                yield batch.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    out = docs
+    for sent in _indexes(docs.sparkSession, benchmark, tau):
+        out = without(out, sent)
+    return out
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

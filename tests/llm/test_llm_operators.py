@@ -1,8 +1,11 @@
 """Each operator against a brute-force version, and the odd cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import datetime as dt
 import hashlib
 import math
 import random
+import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -213,30 +216,87 @@ def test_toxicity_odd(spark, odd, empty):
 # decontamination
 
 
-def test_decontamination(spark):
-    d = "/root/testdata/sf0.01"
-    docs, bench = table(spark, d, "documents").collect(), [(r.item_id, r.text) for r in table(spark, d, "benchmark").collect()]
-    index = decontamination.Index(sorted(bench))
-    got = {(r.doc_id, r.item_id) for r in decontamination.op1_decontamination(spark, d).collect()}
-    want = set()
-    for r in docs:
-        w = decontamination.words(r.text)
-        for a in range(0, max(1, len(w)), index.longest):
-            passage = w[a : a + 2 * index.longest]
-            terms = {index.terms[t] for t in passage if t in index.terms}
-            score = Counter()
-            for t in terms:
+def plain_words(text):
+    return [x for x in (w.strip(string.punctuation) for w in (text or "").lower().split()) if x]
+
+
+def brute_leaks(docs, items, tau=0.6):
+    """Pairs by plain BM25 of every passage against every item, nothing shared with the operator."""
+    known = [(i, plain_words(t), t) for i, t in items if plain_words(t)]
+    mean, df = sum(len(w) for _, w, _ in known) / len(known), Counter(t for _, w, _ in known for t in set(w))
+    size, out = max(len(w) for _, w, _ in known), set()
+
+    def weight(term, times, length):
+        return math.log(1 + (len(known) - df[term] + 0.5) / (df[term] + 0.5)) * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * length / mean))
+
+    def fives(w):
+        k = min(5, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    facts = []
+    for i, w, t in known:
+        own = {x: weight(x, n, len(w)) for x, n in Counter(w).items()}
+        parts, answer = [p for p in (plain_words(x) for x in re.split(r"(?<=[.?!])\s+", t)) if p], []
+        while parts and len(answer) < 5:
+            answer = parts.pop() + answer
+        question = [x for p in parts for x in p]
+        if len(question) < 5:
+            question = answer = w
+        facts.append((i, own, sum(own.values()), fives(question), min(5, len(question)), set(answer)))
+    for doc, text in docs:
+        w = plain_words(text)
+        for a in range(0, len(w), size):
+            have = set(w[a : a + 2 * size])
+            for i, own, whole, q, k, answer in facts:
+                if sum(v for x, v in own.items() if x in have) >= (tau - 1e-9) * whole:
+                    part = w[a : a + 2 * size]
+                    grams = {tuple(part[j : j + k]) for j in range(len(part) - k + 1)}
+                    if len(q & grams) >= 0.8 * len(q) and len(answer & have) >= 0.8 * len(answer):
+                        out.add((doc, i))
+    return out
+
+
+def test_decontamination(spark, sf, monkeypatch):
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    want = brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+    rows = decontamination.op1_decontamination(spark, sf).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and want
+    kept = {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", bench.agg(F.sum(F.octet_length("text"))).first()[0] // 4)  # an index that is dealt into groups
+    again = decontamination.find_leaks(docs, bench).collect()
+    key = lambda r: (r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap)
+    assert sorted(map(key, again)) == sorted(map(key, rows))
+    assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == kept
+
+
+@pytest.mark.parametrize("kind,ids", [("int", [4, 7, None]), ("string", ["", "b", None]), ("long", [4, 2**40, None]), ("date", [dt.date(2001, 1, 1), dt.date(2002, 1, 1), None])])
+def test_decontamination_ids(spark, kind, ids):
+    """Item ids of any type, with and without a hit."""
+    texts = [f"which river flows past the old mill number {k} in spring? it is the river named alpha{k} beta{k} gamma{k} delta{k} of course." for k in range(3)]
+    items = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"item_id {kind}, text string")
+    docs = spark.createDataFrame([("d", texts[1]), ("e", texts[2]), ("f", "none of it")], "doc_id string, text string")
+    got = decontamination.find_leaks(docs, items)
+    assert got.schema["item_id"].dataType == items.schema["item_id"].dataType
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {("d", ids[1]), ("e", ids[2])}
+    assert decontamination.find_leaks(docs.where("doc_id = 'f'"), items).count() == 0
+
+
+def test_block_max_wand():
+    """All items above the threshold, by plain sums, whatever the block and the skew of postings."""
+    rng = random.Random(4)
+    vocabulary = [f"t{k}" for k in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=rng.randrange(1, 25)))) for i in range(700)]
+    for tau in (0.2, 0.6, 0.95):
+        index = decontamination.Index(items, tau)
+        for _ in range(40):
+            query = {index.terms[t] for t in rng.choices(vocabulary, k=rng.randrange(1, 30)) if t in index.terms}
+            sums = Counter()
+            for t in query:
                 for i, v in zip(*index.postings[t][:2], strict=True):
-                    score[i] += v
-            for i, s in score.items():
-                if s >= index.tau - 1e-9:
-                    q, ans = index.parts[i]
-                    k = min(5, len(q))
-                    grams = decontamination.grams(q, k)
-                    if len(grams & decontamination.grams(passage, k)) >= 0.8 * len(grams) and len(set(ans) & set(passage)) >= 0.8 * len(set(ans)):
-                        want.add((r.doc_id, index.ids[i]))
-    assert got == want and want
-    assert {(r.doc_id, i) for r in docs for i, t in bench if t in r.text} <= got
+                    sums[i] += v
+            got = index.search(query)
+            assert [i for i, _ in got] == sorted(i for i, v in sums.items() if v >= tau - 1e-9) and all(v == pytest.approx(sums[i]) for i, v in got)
 
 
 def test_decontamination_odd(spark, odd, empty):
