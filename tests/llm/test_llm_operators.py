@@ -202,6 +202,95 @@ def test_toxicity_held_out(spark):
     assert sum(labels[i] for i in hit) / sum(labels[i] for i in held) > 0.6
 
 
+def test_toxicity_model(spark):
+    """Log-odds, distribution of scores and the score of each text, from the training rows by plain sums."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.fit(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    y = {}
+    for r in labels.collect():
+        if r.toxic is not None and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            y[texts[r.doc_id]] = max(r.toxic, y.get(texts[r.doc_id], 0))
+    count, occurs, tokens = {0: Counter(), 1: Counter()}, Counter(), 0
+    for t, k in y.items():
+        w = plain_words(t)
+        count[k].update({*w, *(x[:5] + "*" for x in w)})
+        occurs.update(w + [x[:5] + "*" for x in w])
+        tokens += len(w)
+    nt, no = sum(y.values()), len(y) - sum(y.values())
+    odds, z = {}, {}
+    for t, n in count[1].items():
+        if n >= 3:
+            prior = 300 * (n + count[0][t]) / (nt + no)
+            a, b = n + prior, count[0][t] + prior
+            odds[t] = math.log(a / (nt + 300 - a)) - math.log(b / (no + 300 - b))
+            z[t] = odds[t] / math.sqrt(1 / a + 1 / b)
+    least = next(x for x in [2.0 + 0.25 * i for i in range(150)] if len(z) * math.erfc(x / math.sqrt(2)) / 2 <= 0.5 * sum(v >= x and odds[t] > 0.7 for t, v in z.items()))
+    want = {t: odds[t] for t in odds if z[t] >= least and odds[t] > 0.7}
+    assert set(model.odds) == set(want) and all(model.odds[t] == pytest.approx(v) for t, v in want.items())
+    score = lambda w: want.get(w) or want.get(w[:5] + "*")
+    shares = Counter()
+    for w, n in occurs.items():
+        if not w.endswith("*") and score(w):
+            shares[round(score(w), 9)] += n / tokens
+    s, p = toxicity.score_distribution({t: (v, occurs[t]) for t, v in want.items()}, tokens)
+    merged = Counter()
+    for v, n in zip(s, p, strict=True):
+        merged[round(v, 9)] += n
+    assert merged.keys() == shares.keys() and all(merged[v] == pytest.approx(n) for v, n in shares.items())
+    assert sum(n * math.exp(model.lam * v) for v, n in shares.items()) + (1 - sum(shares.values())) * math.exp(-model.lam * model.drift) == pytest.approx(1, abs=1e-6)
+    for r in toxicity.figures(docs, model).collect():
+        w, cum, best, total, n = [x.strip(string.punctuation) for x in texts[r.doc_id].lower().split()], [0.0], 0.0, 0.0, 0
+        for x in w:
+            cum.append(cum[-1] + (score(x) or -model.drift))
+        todo = [(0, len(w))]
+        while todo and max(map(bool, map(score, w)), default=False):
+            lo, hi = todo.pop()
+            low, at, top = lo, None, 1e-12
+            for j in range(lo, hi + 1):
+                if cum[j] - cum[low] > top + 1e-12:
+                    at, top = (low, j), cum[j] - cum[low]
+                if cum[j] <= cum[low]:
+                    low = j
+            if at:
+                e = -math.log10(model.k * len(w)) + model.lam * top / math.log(10)
+                if e >= 0:
+                    best, total, n = max(best, e), total + e, n + 1
+                todo += [(lo, at[0]), (at[1], hi)]
+        f = (min(best, 12.0), math.log1p(total), math.log1p(n))
+        want_score = 1 / (1 + math.exp(-(model.curve[0] + sum(c * x for c, x in zip(model.curve[1:], f, strict=True)))))
+        assert r.score == pytest.approx(want_score, abs=1e-6)
+
+
+def test_extreme_law():
+    """In shuffled text, as many segments as the law says."""
+    for seed, share in ((1, 0.002), (2, 0.02), (3, 0.1)):
+        rng = np.random.default_rng(seed)
+        s, p = np.array([0.9, 1.7, 3.1]), np.array([0.6, 0.3, 0.1]) * share
+        lam, k, drift = toxicity.extreme_law(s, p)
+        model = toxicity.Model(odds={"a": 0.9, "b": 1.7, "c": 3.1}, lam=lam, k=k, drift=drift)
+        n = 4000
+        texts = rng.choice(["a", "b", "c", "z"], (600, n), p=[*p, 1 - share])
+        found = [x for t in texts for _, _, x in model.segments(list(t))]
+        for level in (1.0, 0.3, 0.1):  # expected number of segments in a text
+            least = math.log(k * n / level) / lam
+            if least > 3.1:
+                assert sum(x >= least for x in found) / 600 == pytest.approx(level, rel=0.6, abs=0.05)
+
+
+def test_toxicity_counts_texts_once(spark):
+    base = [("foul words here", 1), ("kind words there", 0), ("more plain text", 0), ("foul again and worse", 1), ("foul play", 1)]
+    once = [(i, t) for i, (t, _) in enumerate(base)]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(base)] + [(9, 1), (9, 1)], "doc_id long, toxic int")
+    many = once + [(0, "foul words here")] * 6 + [(9, "foul words here"), (9, "another foul text")]
+    stats = [
+        {r.token: (r.toxic, r.other, r.occurs) for r in toxicity.token_statistics(toxicity.labelled(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True))).collect()}
+        for rows in (many, [*once, (9, "another foul text")])
+    ]
+    assert stats[0] == stats[1] and stats[0]["foul"] == (4, 0, 4)
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (6, 0, None), (None, 1, 1), (8, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd, labels, F.lit(True))
