@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_bytes
+from .common import cut, free_name, hinted, table, text_bytes
 
 SEED = 6
 PART = 64.0
@@ -53,22 +53,22 @@ def rates(docs: DataFrame, weights: dict | None = None, power: float = 0.5) -> D
 
 def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, seed: int = SEED) -> DataFrame:
     """Documents replicated towards the target weights, in shuffled order, with copy, n_copies and mix_key."""
-    r = rates(docs, weights, power).select(F.col("source").alias("__source"), "parts", "cdf")
+    r = rates(docs, weights, power)
     kept = [c for c in docs.columns if c not in ADDED]
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N"))
-    rid, cid, pid = (f"__{x}" for x in ("id", "cdf", "parts"))
-    r = r.withColumnsRenamed({"cdf": cid, "parts": pid})
-    d = docs.select(*kept).withColumn(rid, own).join(r, F.col("source").eqNullSafe(F.col("__source")))
-    u = f"cast(conv(substring(md5(concat_ws('|', '{seed}', {rid}, cast(i as string))), 1, 13), 16, 10) as bigint) / {float(2**52)!r}D"
-    count = F.expr(f"aggregate(sequence(1, {pid}), 0, (k, i) -> k + size(filter({cid}, c -> c <= {u})))")
-    d = d.withColumn("n_copies", count.cast("int")).drop("__source", cid, pid).where("n_copies > 0")
+    rid, cid, pid, sid = (free_name(docs, f"__{x}") for x in ("id", "cdf", "parts", "source"))
+    r = r.select(F.col("source").alias(sid), F.col("cdf").alias(cid), F.col("parts").alias(pid))
+    d = docs.select(*kept).withColumn(rid, own).join(hinted(r, r.count()), F.col("source").eqNullSafe(F.col(sid)))  # a row for each source: documents stay where they are
+    u = f"cast(conv(substring(md5(concat_ws('|', '{seed}', `{rid}`, cast(i as string))), 1, 13), 16, 10) as bigint) / {float(2**52)!r}D"
+    count = F.expr(f"aggregate(sequence(1, `{pid}`), 0, (k, i) -> k + size(filter(`{cid}`, c -> c <= {u})))")
+    d = d.withColumn("n_copies", count.cast("int")).drop(sid, cid, pid).where("n_copies > 0")
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     d = d.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), rid, F.col("copy").cast("string")))).drop(rid)
     return d.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "mix_key")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "copy", "n_copies", "mix_key")
 
 
 ORACLE_SQL = f"""
@@ -79,7 +79,7 @@ p AS (SELECT source, rate, greatest(ceil(rate / {PART}), 1)::INT AS parts, rate
 pmf AS (SELECT source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS pk FROM p, generate_series(0, 700) g(k) WHERE k <= mean + 12 * sqrt(mean) + 30),
 c AS (SELECT source, k, sum(pk) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf FROM pmf),
 a AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM c GROUP BY source),
-d AS (SELECT doc_id, documents.source, cdf, parts, coalesce(doc_id::VARCHAR, '\\N') AS rid FROM documents JOIN a ON documents.source IS NOT DISTINCT FROM a.source JOIN p ON documents.source IS NOT DISTINCT FROM p.source),
-n AS (SELECT doc_id, source, rid, list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('{SEED}|' || rid || '|' || i::VARCHAR), 1, 13))::BIGINT / {float(2**52)!r}))))::INT AS n_copies FROM d)
-SELECT doc_id, source, u::INT AS copy, n_copies, md5('{SEED}-order|' || rid || '|' || u::VARCHAR) AS mix_key FROM n, unnest(range(0, n_copies)) AS x(u)
+d AS (SELECT doc_id, documents.source, text, cdf, parts, coalesce(doc_id::VARCHAR, '\\N') AS rid FROM documents JOIN a ON documents.source IS NOT DISTINCT FROM a.source JOIN p ON documents.source IS NOT DISTINCT FROM p.source),
+n AS (SELECT doc_id, source, text, rid, list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('{SEED}|' || rid || '|' || i::VARCHAR), 1, 13))::BIGINT / {float(2**52)!r}))))::INT AS n_copies FROM d)
+SELECT doc_id, source, text, u::INT AS copy, n_copies, md5('{SEED}-order|' || rid || '|' || u::VARCHAR) AS mix_key FROM n, unnest(range(0, n_copies)) AS x(u)
 """
