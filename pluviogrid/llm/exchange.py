@@ -1,36 +1,47 @@
 """Chunks of documents that ask shards of an index: packed messages instead of a row for each token.
 
 A chunk is a set of documents of bounded total size (but for one very long text), a shard a
-part of a key space. A chunk sends each shard one row with all it has to ask, packed and free
+part of a key space. A chunk sends each shard that it has keys of one row with all it has to ask, packed and free
 of repetitions, so a key that a third of all documents share reaches its shard once from
-each chunk. A shard answers each chunk with one row. Chunks sort what they send by
-content, so answers fit whatever order rows arrive in, also after a task is run again.
+each chunk. A shard answers each chunk with one row. Shards stand for far more text than
+chunks, so there are few messages for each chunk, and never more than it has distinct keys:
+messages grow with the corpus, not with its square. Chunks sort what they send by content, so
+answers fit whatever order rows arrive in, also after a task is run again.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import as_binary
+from .common import as_binary, partitions
 
 CHUNK_BYTES = 4_000_000
-LEAST_CHUNKS = 64
+SHARD_BYTES = 64_000_000  # of text whose keys a shard holds, unless the operator says otherwise
 MESSAGE = "shard int, chunk int, kind int, data binary"
 _NAMES = ["shard", "chunk", "kind", "data"]
 
 
-def chunked(docs: DataFrame, columns: list[str | Column], chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """chunk, the columns and the text as bytes, dealt out by chunk; and the number of chunks, which is used for shards too."""
+def total_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def shards_for(spark: SparkSession, total: int, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards for so much text, and at least as many as the session has shuffle partitions."""
+    return max(partitions(spark), -(-total // shard_bytes))
+
+
+def chunked(docs: DataFrame, columns: list[str | Column], chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """chunk, the columns and the text as bytes, dealt out by chunk; and the number of shards."""
     ship(docs.sparkSession)
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(LEAST_CHUNKS, -(-total // chunk_bytes))
+    total = total_bytes(docs)
+    n = max(partitions(docs.sparkSession), -(-total // chunk_bytes))
     own = [F.col(c) if isinstance(c, str) else c for c in columns]
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), *own, as_binary("text").alias("text"))
-    return rows.repartition(n, "chunk"), n
+    return rows.repartition(n, "chunk"), shards_for(docs.sparkSession, total, shard_bytes)
 
 
 def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:

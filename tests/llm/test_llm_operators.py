@@ -591,17 +591,53 @@ def test_suffix_dedup_odd(spark, odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_log_index():
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_suffix_index_in_batches(spark, tmp_path, hot):
+    """Batches added one by one to a kept index, as much as one run; levels merge geometrically; hot anchors are dealt out."""
+    rng = random.Random(hot)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(50))
+    shared = ["".join(rng.choice("abcdé ") for _ in range(150)) for _ in range(4)]
+    texts = []
+    for _ in range(120):
+        t = "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 150)))
+        s = rng.choice([*shared, line, line])
+        a = rng.randrange(len(s))
+        texts.append(t + (s[a:] if rng.random() < 0.3 else s) + "".join(rng.choice("abcdefghij") for _ in range(60)))
+    texts += [texts[3], texts[3], None, ""]
+    rng.shuffle(texts)
+    docs = frame(spark, texts)
+    index = suffix_dedup.SuffixIndex(spark, str(tmp_path / "index"), 3, 40, 8, hot)
+    for k in range(8):
+        index.add(docs.where(F.col("doc_id") % 8 == k))
+        assert len(index.levels) <= 4
+        if k in (2, 7):
+            have = [t for i, t in enumerate(texts) if i % 8 <= k]
+            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in index.resolve(docs.where(F.col("doc_id") % 8 <= k)).collect()}
+            assert [got[i] for i in sorted(got)] == brute_repeats([(t or "").encode() for t in have], 40)
+    one = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, 40, 8, batches=1).collect()}
+    assert one == got
+
+
+def test_levels():
+    """Matches of a batch with the levels, by plain counts."""
     rng = np.random.default_rng(2)
-    index, seen = suffix_dedup.LogIndex(), Counter()
     for _ in range(30):
-        n = int(rng.integers(1, 200))
-        a, b = (rng.integers(0, 12, n, dtype=np.uint64) for _ in range(2))
-        index.insert(a, b, np.ones(n, np.int64))
-        seen.update(zip(a.tolist(), b.tolist(), strict=True))
-        assert len(index.levels) < 9
-        x, y = (rng.integers(0, 14, 50, dtype=np.uint64) for _ in range(2))
-        assert index.scan(x, y).tolist() == [seen[p] for p in zip(x.tolist(), y.tolist(), strict=True)]
+        draw = lambda n: (rng.integers(0, 12, n, dtype=np.uint64), rng.integers(0, 9, n, dtype=np.uint64), np.ones(n, np.int64))
+        raw = [draw(int(rng.integers(0, 30))) for _ in range(4)]
+        levels = [suffix_dedup.merged(x) for x in raw]
+        pairs = [Counter(zip(a.tolist(), b.tolist(), strict=True)) for a, b, _ in raw]
+        assert all(dict(zip(zip(a.tolist(), b.tolist(), strict=True), n.tolist(), strict=True)) == p for (a, b, n), p in zip(levels, pairs, strict=True))
+        a, b, several = suffix_dedup.scan(levels[0], levels[1:])
+        older = set().union(*pairs[1:])
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == {p for p, n in pairs[0].items() if n > 1 or p in older}
+        assert set(several.tolist()) == {x for x, _ in pairs[0] if len({y for z, y in older | set(pairs[0]) if z == x}) > 1}
+
+
+def test_windows_are_compared_by_bytes():
+    raw = np.frombuffer(b"abcdefabcxef", np.uint8)
+    k, f, at = np.zeros(3, np.uint64), np.zeros(3, np.uint64), np.array([0, 6, 6])  # all fingerprints collide
+    assert suffix_dedup.again(k, f, raw, at, 3).tolist() == [True, True, True]
+    assert suffix_dedup.again(k, f, raw, at, 4).tolist() == [False, True, True]
 
 
 # passages
