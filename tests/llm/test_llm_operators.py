@@ -695,32 +695,110 @@ def test_passages_templated_family(spark):
 
 def test_passages_odd(spark, odd, empty):
     rows = passage_dedup.repeated_passages(odd).collect()
-    assert {(r.doc_id, r.other_doc_id) for r in rows} >= {(5, 4)} and {r.doc_id for r in rows} == {5, 6, 7}
+    assert {(r.doc_id, r.other_doc_id) for r in rows} >= {(4, 4), (5, 4)} and {r.doc_id for r in rows} == {4, 5, 6, 7}
+    assert len({r.class_id for r in rows}) == 1
     assert passage_dedup.repeated_passages(empty).count() == 0
 
 
+def near_pairs(texts, least=50):
+    """Pairs of documents with passages of that many words, at equal starts, at a Jaccard similarity of 0.8 of their shingles."""
+    out, grams = set(), [[w[k : k + 5] for k in range(len(w) - 4)] for w in (tuple(t.split()) for t in texts)]
+    for i in range(len(texts)):
+        for j in range(i):
+            n = min(len(grams[i]), len(grams[j]))
+            for k in range(n - least + 5):
+                x, y = set(grams[i][k : k + least - 4]), set(grams[j][k : k + least - 4])
+                if len(x & y) >= 0.8 * len(x | y):
+                    out.add((i, j))
+                    break
+    return out
+
+
+def linked_pairs(rows):
+    """Pairs of documents in the passages of one class."""
+    members = defaultdict(set)
+    for r in rows:
+        members[r.class_id] |= {r.doc_id, r.other_doc_id}
+    return {(max(i, j), min(i, j)) for m in members.values() for i in m for j in m if i != j}
+
+
+def test_passages_near_copies(spark):
+    """Families of near copies, by brute force over all pairs: links and memberships hold nine pairs in ten and no pair of strangers."""
+    rng = random.Random(21)
+    texts, family = [], []
+    for f in range(30):
+        base = words(rng, 60)
+        for _ in range(10):
+            t = list(base)
+            t[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+            family.append(f)
+    rows = passage_dedup.repeated_passages(frame(spark, texts)).collect()
+    want, direct, got = near_pairs(texts), {(r.doc_id, r.other_doc_id) for r in rows}, linked_pairs(rows)
+    assert len(want & got) >= 0.95 * len(want), (len(want), len(want & direct), len(want & got))
+    assert all(family[i] == family[j] for i, j in got)
+
+
+def test_passages_template_and_variable_words(spark):
+    """Large families with a shared template: near copies that are not the same to the letter, by brute force over all pairs."""
+    rng = random.Random(22)
+    template, tails, texts = words(rng, 24), [words(rng, 16) for _ in range(12)], []
+    for _ in range(240):
+        a, b = rng.sample(range(12), 2)
+        texts.append(" ".join([f"n{rng.randrange(9)}", *tails[a], *template, f"m{rng.randrange(9)}", *tails[b], f"k{rng.randrange(9)}"]))
+    rows = passage_dedup.repeated_passages(frame(spark, texts)).collect()
+    want = near_pairs(texts)
+    found = {i for i, _ in want}
+    assert len(found & {r.doc_id for r in rows}) >= 0.93 * len(found), (len(found), len(found & {r.doc_id for r in rows}))
+    assert len(want & linked_pairs(rows)) >= 0.9 * len(want), (len(want), len(want & linked_pairs(rows)))
+
+
+def test_passages_of_one_document_and_one_id(spark):
+    rng = random.Random(23)
+    p, q = (" ".join(words(rng, 70)) for _ in range(2))
+    fill = lambda: " ".join(words(rng, 40, 10**6))
+    rows = [("twice", f"{fill()} {p} {fill()} {p}"), ("same", q), ("same", f"{fill()} {q}"), ("none", fill() + " " + fill()), (None, p), ("long", "one two three four five six " * 40)]
+    got = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id, r.other_doc_id].append(r)
+    assert set(by) == {("twice", "twice"), ("same", "same"), ("long", "long")}
+    r = by["twice", "twice"][0]
+    assert (r.first_word, r.end_word, r.other_first_word, r.other_end_word, r.similarity) == (150, 220, 40, 110, 1.0)
+    assert all(r.first_word >= r.other_end_word for r in by["long", "long"])
+
+
 def test_passages_verify_every_candidate():
-    """Equal min-hashes prove no similarity: a document between the nearest and the farthest that agree is a candidate too."""
+    """Equal signatures prove no similarity: a document between the nearest and the farthest that agree is a candidate too."""
     rng = random.Random(6)
-    w = passage_dedup.Windows([9], [" ".join(words(rng, 80)).encode()], 46)
+    w = passage_dedup.Windows([9], [" ".join(words(rng, 80)).encode()], 46, 5)
     n = len(w.value)
-    told = [np.repeat(np.arange(n), 3), np.tile([1, 2, 3], n), np.repeat(w.pivot, 3), np.tile([0, 1, 2], n)]
-    got = passage_dedup.candidates(w, np.arange(n), np.arange(n), told)
+    told = [np.repeat(np.arange(n), 3), np.tile([1, 2, 3], n), np.tile([10, 20, 30], n), np.repeat(w.pivot, 3)]
+    got = passage_dedup.candidates(w, np.arange(n), np.arange(n), told, 46)
     assert {(c[3], c[1], c[2]) for c in got} == {(i, 0, 30) for i in (1, 2, 3)}
 
 
 def test_compact_windows_cover_every_start():
+    """Signatures by brute-force minima, and nodes by their definition."""
     rng = random.Random(4)
-    texts = [" ".join(words(rng, n, 50)) for n in (50, 51, 200, 400)]
-    w = passage_dedup.Windows([3, 1, 2, 9], [t.encode() for t in texts], 46)
+    texts = [" ".join(words(rng, n, 50)).encode() for n in (50, 51, 200, 400)]
+    keys = [3, 1, 2, 9]
+    w = passage_dedup.Windows(keys, texts, 46, 0)
+    assert w.keys.tolist() == sorted(keys)
     for d in range(len(w.seqs)):
+        n = len(w.seqs[d])
+        h = [[(int(v) >> 32, i) for i, v in enumerate(w.seqs[d] * m)] for m in passage_dedup._MUL]
         for k in range(passage_dedup.HASHES):
-            at = (w.doc == d) & (w.function == k)
-            starts = [p for a, b in zip(w.first[at], w.last[at], strict=True) for p in range(a, b + 1)]
-            assert sorted(starts) == list(range(len(w.seqs[d]) - 45))
-            h = (w.seqs[d] * passage_dedup._MUL[k]) >> np.uint64(32)
-            for a, b, c in zip(w.first[at], w.last[at], w.pivot[at], strict=True):
-                assert all(h[c] == h[p : p + 46].min() and p <= c < p + 46 for p in range(a, b + 1))
+            at = np.flatnonzero((w.doc == d) & (w.function == k))
+            starts = [p for i in at for p in range(w.first[i], w.last[i] + 1)]
+            assert sorted(starts) == list(range(n - 45))
+            for i in at:
+                a, b, m = w.first[i], w.last[i], (k + 1) % passage_dedup.HASHES
+                c, e = (min(h[f][a : a + 46])[1] for f in (k, m))
+                assert w.pivot[i] == c and all(min(h[k][p : p + 46])[1] == c and min(h[m][p : p + 46])[1] == e for p in range(a, b + 1))
+                low = max(max((p + 1 for p in range(x) if h[f][p] < h[f][x]), default=0) for f, x in ((k, c), (m, e)))
+                high = min(min((p - 1 for p in range(x, n) if h[f][p] < h[f][x]), default=n - 1) for f, x in ((k, c), (m, e)))
+                assert (w.low[i], w.high[i]) == (low, high - 45)
 
 
 # language model
