@@ -2,7 +2,7 @@
 
 Tokens are ASCII-lower-cased words and one end for each text. The model is of bigrams with
 absolute discounting, interpolated with add-one unigrams. A shard holds the contexts whose hash
-falls to it, as compact levels that are mapped from a file: the context hashes as an
+falls to it, as compact levels: the context hashes as an
 Elias-Fano sequence; their counts; monotone pointers to where the successors of each begin
 (Elias-Fano); the successors, as ids in the shard's own vocabulary, made monotone by the
 context's place (Elias-Fano); and the smoothed probabilities and back-off weights, quantised
@@ -20,9 +20,6 @@ result; only doc_id and the text are read.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +29,7 @@ from .common import WordHash, table
 from .exchange import MESSAGE, chunked, inbox, messages, pack, split, unique_pairs, unpack
 
 DISCOUNT = 0.75
+SHARD_BYTES = 16_000_000  # of text whose contexts a shard holds
 STEP = 0.03  # decades between the quantised logarithms
 END, BEGIN = b" end", b" begin"  # no word holds white space
 
@@ -152,16 +150,6 @@ class Shard:
         parts = [x for v in (context, vocabulary, pointers, relative) for x in EliasFano.build(v).arrays()]
         return pack(*parts, count.astype(np.int64), quantise(weights), quantise(p))
 
-    @classmethod
-    def mapped(cls, data: bytes) -> Shard:
-        """The levels in a file of their own, mapped; the file goes with the last use."""
-        with tempfile.NamedTemporaryFile(delete=False) as f:
-            f.write(data)
-        try:
-            return cls(np.memmap(f.name, np.uint8, "r"))
-        finally:
-            os.unlink(f.name)
-
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts, and codes of the back-off weights."""
         at = self.contexts.find(h)
@@ -259,7 +247,7 @@ def answer(rows: pa.Table, model: pa.Table) -> pa.Table:
     """For each chunk: tokens and distinct tokens of the shard in training, counts and codes of what it asked."""
     if not model.num_rows:
         return messages([])
-    levels = Shard.mapped(model.column("data")[0].as_py())
+    levels = Shard(model.column("data")[0].as_py())
     own = np.array([levels.counts.sum(), (levels.counts > 0).sum()], np.int64)
     out = []
     for shard, chunk, _, data in inbox(rows):
@@ -285,13 +273,13 @@ def _requests(rows: DataFrame, shards: int) -> DataFrame:
 
 def train(docs: DataFrame, out: Column) -> DataFrame:
     """The model of the rows of docs that `out` does not hold out: a message with the levels of each shard."""
-    rows, n = chunked(docs, ["doc_id", out.alias("held_out")])
+    rows, n = chunked(docs, ["doc_id", out.alias("held_out")], shard_bytes=SHARD_BYTES)
     return _requests(rows, n).groupBy("shard").applyInArrow(build_shard, MESSAGE)
 
 
 def score(docs: DataFrame, out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, by the model of the rows not held out."""
-    rows, n = chunked(docs, ["doc_id", out.alias("held_out")])
+    rows, n = chunked(docs, ["doc_id", out.alias("held_out")], shard_bytes=SHARD_BYTES)
     asked = _requests(rows, n)
     model = asked.groupBy("shard").applyInArrow(build_shard, MESSAGE)
     told = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, MESSAGE)
