@@ -7,13 +7,10 @@ of documents. Nulls, repeated rows and empty tables: see each operator.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pluviogrid.llm import decontamination, minhash_dedup, mixing, sharding, toxicity
-from pluviogrid.llm.common import table
+from pluviogrid.llm.common import drop_folder, scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the rows of the last one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pluviogrid-")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; the rows of the last one. A stage's folder goes once the next one is written, the last one's with the session."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{base}/pipeline-{uuid.uuid4().hex}-{name}"
+        path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
