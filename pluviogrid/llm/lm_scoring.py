@@ -1,16 +1,19 @@
 """Operator 3, language-model scoring: an Elias-Fano n-gram trie in shards.
 
-Tokens are ASCII-lower-cased words and one end for each text. The model is of bigrams with
-absolute discounting, interpolated with add-one unigrams. A shard holds the contexts whose hash
-falls to it, as compact levels: the context hashes as an
-Elias-Fano sequence; their counts; monotone pointers to where the successors of each begin
-(Elias-Fano); the successors, as ids in the shard's own vocabulary, made monotone by the
-context's place (Elias-Fano); and the smoothed probabilities and back-off weights, quantised
-to 8 bits. A successor is found by a successor search relative to its context.
-
-Documents form chunks; a chunk asks each shard once for all its distinct words and bigrams,
-with their counts in training texts, so that training and queries share one exchange and no
-task holds more than a shard. Nothing is pruned: what is gathered grows with the corpus.
+Tokens are ASCII-lower-cased words and one end for each text. The model is of trigrams with
+absolute discounting, interpolated with bigrams, and these with add-one unigrams. A shard holds
+the part of the trie below the first words whose hash falls to it. Its levels: the hashes of
+the first words; the second words of each; the third words of each pair. Words below the first
+level are ids in the shard's own vocabulary (48 bits of a hash), made monotone by the place of
+their context, and pointers tell where the successors of each context begin; all of these are
+Elias-Fano sequences of exact bit widths, read through sampled ranks alone. Smoothed probabilities and
+back-off weights are quantised to 8 bits. A successor is found by a search relative to its context.
+Packed levels are read in place from whatever holds their bytes, a memory-mapped file included.
+
+Documents form chunks; a chunk asks each shard once for all its distinct words, bigrams and
+trigrams, itself as a trie of Elias-Fano sequences with counts in training texts, so that
+training and queries share one exchange and no task holds more than a shard. Nothing is pruned:
+what is gathered grows with the corpus.
 
 Null and empty texts have one token, the end; whole texts are scored, however long; repeated
 rows count and score alike; rows with a null id are not held out; without training text all
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, table
-from .exchange import MESSAGE, chunked, inbox, messages, pack, split, unique_pairs, unpack
+from .exchange import MESSAGE, chunked, inbox, messages, pack, split, unpack
 
 DISCOUNT = 0.75
 SHARD_BYTES = 16_000_000  # of text whose contexts a shard holds
@@ -47,70 +50,117 @@ def dequantise(codes: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence of uint64: whole low bytes in rows, high bits in unary; both are arrays of bytes that may be mapped."""
+    """A monotone sequence of uint64: low bits packed without gaps, high bits in unary, and the rank at each 512th high bit."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.high = n, low_bits, high
-        self.low = low.reshape(n, low_bits // 8)
-        self._starts = None
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
+        self.n, self.bits, self.low, self.high = n, bits, low, high
+        self._at = np.ndarray((max(0, low.nbytes - 7),), np.dtype("<u8"), low, strides=(1,)) if bits else None
+        self._ranks = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
-        v = np.ascontiguousarray(values, np.dtype("<u8"))
+        v = np.asarray(values).astype(np.uint64)
         n = len(v)
-        most = int(v[-1]) if n else 0
-        bits = min(56, 8 * -(-((most // n).bit_length() - 1) // 8)) if n and most > n else 0
-        low = np.ascontiguousarray(v.view(np.uint8).reshape(n, 8)[:, : bits // 8]).ravel()
+        if not n:
+            return cls(0, 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        bits = min(56, max(0, (int(v[-1]) // n).bit_length() - 1))  # 56 and a shift of 7 fit one load
+        low = np.zeros(n * bits // 64 + 2 if bits else 0, np.uint64)
+        if bits:
+            at = np.arange(n, dtype=np.int64) * bits
+            x, word, off = v & np.uint64((1 << bits) - 1), at >> 6, (at & 63).astype(np.uint64)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            low[word[first]] = np.bitwise_or.reduceat(x << off, first)
+            over = np.flatnonzero((at & 63) + bits > 64)
+            low[word[over] + 1] |= x[over] >> (np.uint64(64) - off[over])
         ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(ones[-1]) + 8) // 8 if n else 0, np.uint8)
-        np.bitwise_or.at(high, ones >> 3, (0x80 >> (ones & 7)).astype(np.uint8))
-        return cls(n, bits, low, high)
+        flags = np.zeros(512 * (int(ones[-1] + 1) // 512 + 1), np.uint8)
+        flags[ones] = 1
+        return cls(n, bits, low, np.packbits(flags, bitorder="little").view(np.dtype("<u8")))
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits], np.int64), self.low.ravel(), self.high]
+        return [np.array([self.n, self.bits], np.int64), self.low, self.high]
 
     @classmethod
     def of(cls, arrays: list[np.ndarray]) -> EliasFano:
         return cls(int(arrays[0][0]), int(arrays[0][1]), arrays[1], arrays[2])
 
+    @property
+    def nbytes(self) -> int:
+        """What the sequence takes, with the ranks once it has been read."""
+        return self.low.nbytes + self.high.nbytes + (self._ranks.nbytes if self._ranks is not None else 0)
+
     def _low(self, at: np.ndarray) -> np.ndarray:
-        """The low bytes of the values at those places."""
-        out = np.zeros((len(at), 8), np.uint8)
-        out[:, : self.low_bits // 8] = self.low[at]
-        return out.view(np.dtype("<u8")).ravel()
-
-    def _directory(self) -> tuple[np.ndarray, np.ndarray]:
-        """The high part of each value, and the place where each high part begins."""
-        if self._starts is None:
-            ones = np.flatnonzero(np.unpackbits(self.high))[: self.n]
-            hi = ones - np.arange(self.n)
-            self._starts = hi, np.searchsorted(hi, np.arange((int(hi[-1]) if self.n else -1) + 3))
-        return self._starts
+        """The low bits of the values at those places."""
+        if not self.bits:
+            return np.zeros(len(at), np.uint64)
+        pos = at * self.bits
+        return self._at[pos >> 3] >> (pos & 7).astype(np.uint64) & np.uint64((1 << self.bits) - 1)
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """The place among the high bits of the k-th one (or zero), counted from 0."""
+        if self._ranks is None:
+            kind = np.uint32 if self.n < 1 << 32 else np.int64
+            self._ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high).reshape(-1, 8).sum(1, np.int64)))).astype(kind)
+        before = self._ranks.astype(np.int64)
+        if not one:
+            before = np.arange(len(before)) * 512 - before
+        word = np.searchsorted(before, k, "right") - 1
+        rest = k - before[word]
+        word *= 8
+        flip = np.uint64(0 if one else 0xFFFFFFFFFFFFFFFF)
+        bits = self.high[word] ^ flip
+        for _ in range(7):
+            c = np.bitwise_count(bits)
+            on = rest >= c
+            if not on.any():
+                break
+            rest -= c * on
+            word += on
+            bits = self.high[word] ^ flip
+        pos = word * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            c = np.bitwise_count(bits & np.uint64((1 << width) - 1))
+            on = rest >= c
+            rest -= c * on
+            pos += width * on
+            bits = bits >> (on * np.uint64(width))
+        return pos
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        return self._directory()[0][at].astype(np.uint64) << np.uint64(self.low_bits) | self._low(at)
-
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value >= x (n if there is none), for each x: select on the high bits, then a search among the few with the same."""
-        _, starts = self._directory()
-        h = np.minimum(x >> np.uint64(self.low_bits), np.uint64(len(starts) - 2)).astype(np.int64)
-        lo, hi = starts[h], starts[h + 1]
-        low = x & np.uint64((1 << self.low_bits) - 1)
+        return (self._select(at, True) - at).astype(np.uint64) << np.uint64(self.bits) | self._low(at)
+
+    def values(self) -> np.ndarray:
+        """The whole sequence, decoded."""
+        at = np.arange(self.n)
+        high = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - at
+        return high.astype(np.uint64) << np.uint64(self.bits) | self._low(at)
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place of the first value >= x, the end of those with its high bits, and the low bits of x."""
+        zeros = 64 * len(self.high) - self.n
+        h = np.minimum(x >> np.uint64(self.bits), np.uint64(zeros - 1)).astype(np.int64)
+        end = self._select(h, False) - h
+        lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - h + 1, 0)
+        low, hi = x & np.uint64((1 << self.bits) - 1), end.copy()
         todo = np.flatnonzero(lo < hi)
         while len(todo):
             mid = (lo[todo] + hi[todo]) // 2
             less = self._low(mid) < low[todo]
             lo[todo[less]], hi[todo[~less]] = mid[less] + 1, mid[~less]
             todo = todo[lo[todo] < hi[todo]]
-        return lo
+        return lo, end, low
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The place of the first value >= x (n if there is none), for each x."""
+        return self._search(x)[0] if self.n else np.zeros(len(x), np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each x, or -1."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
-        at = self.successor(x)
-        ok = at < self.n
-        ok[ok] = self.get(at[ok]) == x[ok]
+        at, end, low = self._search(x)
+        ok = at < end
+        ok[ok] = self._low(at[ok]) == low[ok]
         return np.where(ok, at, -1)
 
 
@@ -126,63 +176,116 @@ def expand(small: np.ndarray, places: np.ndarray, values: np.ndarray) -> np.ndar
     return out
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the place of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
+def summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sum of the counts of each."""
+    found, place = distinct(np.concatenate(keys))
+    return found, np.bincount(place, np.concatenate(times), len(found)).astype(np.int64)
+
+
+def smoothed(of: np.ndarray, times: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray, EliasFano]:
+    """Codes of discounted probabilities of successors (of: places of their contexts, ascending), of the back-off weights of contexts, and the pointers."""
+    seen, kinds = np.bincount(of, times, contexts), np.bincount(of, minlength=contexts)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weights = np.where(seen > 0, DISCOUNT * kinds / seen, 0.0)
+        p = np.maximum(times - DISCOUNT, 0) / seen[of]
+    return quantise(p), quantise(weights), EliasFano.build(np.concatenate(([0], np.cumsum(kinds))))
+
+
 class Shard:
-    """The levels of one shard's contexts."""
+    """The levels of one shard's part of the trie, read in place from bytes or from a memory-mapped file of them."""
 
     def __init__(self, data: bytes | np.ndarray):
-        a = unpack(data)
-        take = iter(a)
+        take = iter(unpack(data))
         ef = lambda: EliasFano.of([next(take) for _ in range(3)])
-        self.contexts, self.vocabulary, self.pointers, self.successors = ef(), ef(), ef(), ef()
-        self.counts, self.weights, self.codes = next(take), next(take), next(take)
+        self.contexts, self.vocabulary, self.second, self.third = ef(), ef(), ef(), ef()
+        self.pointers = ef(), ef()
+        self.small, self.places, self.large = next(take), next(take), next(take)
+        self.weights, self.codes = (next(take), next(take)), (next(take), next(take))
 
     @staticmethod
-    def build(context: np.ndarray, count: np.ndarray, of: np.ndarray, word: np.ndarray, times: np.ndarray) -> bytes:
-        """context: ascending hashes with counts as tokens; of, word, times: bigrams by place of the context and fingerprint of the word, in order."""
-        vocabulary, ids = np.unique(word, return_inverse=True)
-        seen = np.bincount(of, times, len(context))
-        kinds = np.bincount(of, minlength=len(context))
-        pointers = np.concatenate(([0], np.cumsum(kinds)))
-        relative = of.astype(np.uint64) * np.uint64(max(1, len(vocabulary))) + ids.astype(np.uint64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weights = np.where(seen > 0, DISCOUNT * kinds / seen, 0.0)
-            p = np.maximum(times - DISCOUNT, 0) / seen[of]
-        parts = [x for v in (context, vocabulary, pointers, relative) for x in EliasFano.build(v).arrays()]
-        return pack(*parts, count.astype(np.int64), quantise(weights), quantise(p))
-
-    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts, and codes of the back-off weights."""
-        at = self.contexts.find(h)
-        if not self.contexts.n:
-            return np.zeros(len(h), np.int64), np.zeros(len(h), np.uint8)
-        return np.where(at >= 0, self.counts[at], 0), np.where(at >= 0, self.weights[at], 0).astype(np.uint8)
-
-    def bigrams(self, context: np.ndarray, of: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of the discounted probabilities of bigrams, by place of their context's hash in context."""
-        if not self.successors.n:
-            return np.zeros(len(word), np.uint8)
-        kinds, which = np.unique(word, return_inverse=True)
-        u, v = self.contexts.find(context)[of], self.vocabulary.find(kinds)[which]
-        ok = np.flatnonzero((u >= 0) & (v >= 0))
-        at = self.successors.find(u[ok].astype(np.uint64) * np.uint64(max(1, self.vocabulary.n)) + v[ok].astype(np.uint64))
-        begin, end = self.pointers.get(u[ok]).astype(np.int64), self.pointers.get(u[ok] + 1).astype(np.int64)
-        inside = (at >= begin) & (at < end)
-        out = np.zeros(len(word), np.uint8)
-        out[ok[inside]] = self.codes[at[inside]]
+    def build(requests: list[bytes]) -> bytes:
+        """The levels out of what chunks counted in training texts."""
+        asked = [Request(x) for x in requests]
+        heads, tails = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for r in asked:
+            r.trained = r.times2 > 0, r.times3 > 0
+            used = r.counts > 0
+            used[r.of2[r.trained[0]]] = True
+            heads.append(r.words[used])
+            used = np.zeros(len(r.vocabulary), bool)
+            used[r.after2[r.trained[0]]] = True
+            used[r.after3[r.trained[1]]] = True
+            tails.append(r.vocabulary[used])
+        contexts, vocabulary = distinct(np.concatenate(heads))[0], distinct(np.concatenate(tails))[0]
+        count, v = np.zeros(len(contexts), np.int64), max(1, len(vocabulary))
+        none = [np.zeros(0, np.int64)]
+        keys, ids, times = list(none), [], list(none)
+        for r in asked:
+            known = np.flatnonzero(r.counts)
+            count[np.searchsorted(contexts, r.words[known])] += r.counts[known]
+            ids.append(np.searchsorted(vocabulary, r.vocabulary))
+            r.key2 = np.searchsorted(contexts, r.words)[r.of2] * v + ids[-1][r.after2]
+            keys.append(r.key2[r.trained[0]]), times.append(r.times2[r.trained[0]])
+        second, n2 = summed(keys, times)
+        keys, times = list(none), list(none)
+        for r, own in zip(asked, ids, strict=True):
+            t = r.trained[1]
+            keys.append(np.searchsorted(second, r.key2)[r.of3[t]] * v + own[r.after3[t]]), times.append(r.times3[t])
+        third, n3 = summed(keys, times)
+        code2, weight1, pointers1 = smoothed(second // v, n2, len(contexts))
+        code3, weight2, pointers2 = smoothed(third // v, n3, len(second))
+        levels = [EliasFano.build(x) for x in (contexts, vocabulary, second, third)]
+        parts = [x for e in (*levels, pointers1, pointers2) for x in e.arrays()]
+        return pack(*parts, *squeeze(count), weight1, weight2, code2, code3)
+
+    def counts(self) -> np.ndarray:
+        return expand(self.small, self.places, self.large)
+
+    def _below(self, level: int, context: np.ndarray, of: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The places of successors (ids) of contexts (places, by `of`) on a level, or -1."""
+        e, out = (self.second, self.third)[level], np.full(len(word), -1, np.int64)
+        if not e.n:
+            return out
+        begin, end = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        ok = np.flatnonzero(context >= 0)
+        begin[ok], end[ok] = self.pointers[level].get(context[ok]), self.pointers[level].get(context[ok] + 1)
+        ok = np.flatnonzero((begin < end)[of] & (word >= 0))
+        at = e.find((context[of[ok]] * max(1, self.vocabulary.n) + word[ok]).astype(np.uint64))
+        inside = (at >= begin[of[ok]]) & (at < end[of[ok]])
+        out[ok[inside]] = at[inside]
         return out
 
+    def answer(self, r: Request, counts: np.ndarray) -> list[np.ndarray]:
+        """Counts of words; codes of the weights of words, of bigrams, of the weights of bigrams, of trigrams."""
+        pick = lambda values, at: np.where(at >= 0, values[at], 0).astype(values.dtype) if len(values) else np.zeros(len(at), values.dtype)
+        first, ids = self.contexts.find(r.words), self.vocabulary.find(r.vocabulary)
+        second = self._below(0, first, r.of2, ids[r.after2])
+        third = self._below(1, second, r.of3, ids[r.after3])
+        return [*squeeze(pick(counts, first)), pick(self.weights[0], first), pick(self.codes[0], second), pick(self.weights[1], second), pick(self.codes[1], third)]
+
 
 def held_out(doc_id: Column, modulus: int = 7, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
 def fingerprint(words: np.ndarray) -> np.ndarray:
-    """40 bits of a word's hash, which tell it from other successors of one context; words as tokens and contexts keep all 64."""
-    return words >> np.uint64(24)
+    """48 bits of a word's hash, which tell it from others in the vocabulary of a shard; words as tokens and first words keep all 64."""
+    return words >> np.uint64(16)
 
 
 class Chunk:
-    """Distinct words and bigrams of some texts: words (ascending hashes), token (place of each token's word), bigram (place of each token's bigram)."""
+    """Distinct words (ascending hashes), bigrams and trigrams of some texts, and the place of each token's own; trigrams are of tokens that follow another (inner)."""
 
     def __init__(self, texts: list[bytes]):
         tokens, lengths, part = [], np.zeros(len(texts), np.int64), []
@@ -199,62 +302,64 @@ class Chunk:
         self.lengths = lengths
         self.starts = np.cumsum(lengths) - lengths
         begin = np.uint64(_words[BEGIN])
-        self.words, where = np.unique(np.concatenate((h, [begin])).astype(np.uint64), return_inverse=True)
+        self.words, where = distinct(np.concatenate((h, [begin])).astype(np.uint64))
         self.token = where[:-1]
         before = np.empty_like(self.token)
         before[1:] = self.token[:-1]
         before[self.starts] = where[-1]
-        pair = before.astype(np.int64) * len(self.words) + self.token
-        self.pairs, self.bigram = np.unique(pair, return_inverse=True)
-        self.before, self.after = self.pairs // len(self.words), self.pairs % len(self.words)
+        pairs, self.bigram = distinct(before * len(self.words) + self.token)
+        self.before, self.after = pairs // len(self.words), pairs % len(self.words)
+        inner = np.ones(len(self.token), bool)
+        inner[self.starts] = False
+        self.inner = np.flatnonzero(inner)
+        triples, self.trigram = distinct(self.bigram[self.inner - 1] * len(self.words) + self.token[self.inner])
+        self.pair, self.last = triples // len(self.words), triples % len(self.words)
 
     def by_shard(self, shards: int):
-        """(places of words, places of bigrams) of each shard; bigrams follow their context's shard."""
+        """(places of words, of bigrams, of trigrams) of each shard; they follow their first word's."""
         of = (self.words % np.uint64(shards)).astype(np.int64)
-        return list(zip(split(of, shards), split(of[self.before], shards), strict=True))
-
-
-def pack_request(words, counts, of, successors, times) -> bytes:
-    """Words, their counts, and for each word in turn its successors with their counts."""
-    kinds = np.bincount(of, minlength=len(words)).astype(np.uint32)
-    return pack(words, *squeeze(counts), *squeeze(kinds), (successors & np.uint64(0xFFFFFFFF)).astype(np.uint32), (successors >> np.uint64(32)).astype(np.uint8), *squeeze(times))
-
-
-def unpack_request(data: bytes):
-    a = unpack(data)
-    of = np.repeat(np.arange(len(a[0])), expand(*a[4:7]))
-    return a[0], expand(*a[1:4]), of, a[7].astype(np.uint64) | a[8].astype(np.uint64) << np.uint64(32), expand(*a[9:12])
+        pairs = of[self.before]
+        return list(zip(split(of, shards), split(pairs, shards), split(pairs[self.pair], shards), strict=True))
+
+    def request(self, w: np.ndarray, p: np.ndarray, t: np.ndarray, counts: np.ndarray, times2: np.ndarray, times3: np.ndarray) -> bytes:
+        """What the chunk asks one shard: a small trie with counts, whose ids are of the message's own vocabulary."""
+        used = np.zeros(len(self.words), bool)
+        used[self.after[p]] = True
+        used[self.last[t]] = True
+        ids, vocabulary = np.cumsum(used) - 1, fingerprint(self.words[used])
+        v = max(1, len(vocabulary))
+        second = np.searchsorted(w, self.before[p]) * v + ids[self.after[p]]
+        third = np.searchsorted(p, self.pair[t]) * v + ids[self.last[t]]
+        parts = [x for values in (self.words[w], vocabulary, second, third) for x in EliasFano.build(values).arrays()]
+        return pack(*parts, *squeeze(counts[w]), *squeeze(times2[p]), *squeeze(times3[t]))
+
+
+class Request:
+    """A chunk's request, decoded: words, vocabulary; bigrams and trigrams as the place of their context (of) and the id of their word (after); counts."""
+
+    def __init__(self, data: bytes):
+        a = unpack(data)
+        self.words, self.vocabulary, second, third = (EliasFano.of(a[i : i + 3]).values() for i in (0, 3, 6, 9))
+        v = max(1, len(self.vocabulary))
+        second, third = second.astype(np.int64), third.astype(np.int64)
+        self.of2, self.of3 = second // v, third // v
+        self.after2, self.after3 = second - self.of2 * v, third - self.of3 * v
+        self.counts, self.times2, self.times3 = (expand(*a[i : i + 3]) for i in (12, 15, 18))
 
 
 def build_shard(rows: pa.Table) -> pa.Table:
     """One row with the levels of the shard, out of all that chunks ask and count."""
-    shard, words, counts, left, right, times = None, [], [], [], [], []
-    for shard, _, _, data in inbox(rows):  # noqa: B007
-        w, c, at, v, t = unpack_request(data)
-        trained = c > 0
-        words.append(w[trained]), counts.append(c[trained])
-        trained = t > 0
-        left.append(w[at[trained]]), right.append(v[trained]), times.append(t[trained])
-    words, counts, left, right, times = (np.concatenate(x) for x in (words, counts, left, right, times))
-    order, first = unique_pairs(left, right)
-    a, b, n = left[order][first], right[order][first], np.add.reduceat(times[order], first) if len(first) else np.zeros(0, np.int64)
-    context = np.unique(np.concatenate((words, a)))
-    count = np.bincount(np.searchsorted(context, words), counts, len(context)).astype(np.int64)
-    return messages([(shard, -1, 2, Shard.build(context, count, np.searchsorted(context, a), b, n))])
-
-
-def answer(rows: pa.Table, model: pa.Table) -> pa.Table:
-    """For each chunk: tokens and distinct tokens of the shard in training, counts and codes of what it asked."""
-    if not model.num_rows:
-        return messages([])
-    levels = Shard(model.column("data")[0].as_py())
-    own = np.array([levels.counts.sum(), (levels.counts > 0).sum()], np.int64)
-    out = []
-    for shard, chunk, _, data in inbox(rows):
-        w, _, at, v, _ = unpack_request(data)
-        counts, weights = levels.words(w)
-        out.append((shard, chunk, 1, pack(own, *squeeze(counts), weights, levels.bigrams(w, at, v))))
-    return messages(out)
+    box = inbox(rows)
+    return messages([(box[0][0], -1, 2, Shard.build([data for *_, data in box]))])
+
+
+def answer(rows: pa.Table) -> pa.Table:
+    """For each chunk: tokens and distinct tokens of the shard in training, counts and codes of what it asked of the shard's levels."""
+    box = inbox(rows)
+    levels = Shard(Shard.build([data for *_, data in box]))
+    counts = levels.counts()
+    own = np.array([counts.sum(), (counts > 0).sum()], np.int64)
+    return messages([(shard, chunk, 1, pack(own, *levels.answer(Request(data), counts))) for shard, chunk, _, data in box])
 
 
 def _requests(rows: DataFrame, shards: int) -> DataFrame:
@@ -262,11 +367,10 @@ def _requests(rows: DataFrame, shards: int) -> DataFrame:
         c = Chunk(t.column("text").to_pylist())
         trained = ~np.repeat(np.array(t.column("held_out").to_pylist(), bool), c.lengths)
         counts = np.bincount(c.token, trained, len(c.words)).astype(np.uint32)
-        times = np.bincount(c.bigram, trained, len(c.pairs)).astype(np.uint32)
-        chunk, out = t.column("chunk")[0].as_py(), []
-        for s, (w, p) in enumerate(c.by_shard(shards)):
-            out.append((s, chunk, 0, pack_request(c.words[w], counts[w], np.searchsorted(w, c.before[p]), fingerprint(c.words[c.after[p]]), times[p])))
-        return messages(out)
+        times2 = np.bincount(c.bigram, trained, len(c.before)).astype(np.uint32)
+        times3 = np.bincount(c.trigram, trained[c.inner], len(c.pair)).astype(np.uint32)
+        chunk = t.column("chunk")[0].as_py()
+        return messages([(s, chunk, 0, c.request(w, p, q, counts, times2, times3)) for s, (w, p, q) in enumerate(c.by_shard(shards))])
 
     return rows.groupBy("chunk").applyInArrow(ask, MESSAGE)
 
@@ -280,9 +384,7 @@ def train(docs: DataFrame, out: Column) -> DataFrame:
 def score(docs: DataFrame, out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, by the model of the rows not held out."""
     rows, n = chunked(docs, ["doc_id", out.alias("held_out")], shard_bytes=SHARD_BYTES)
-    asked = _requests(rows, n)
-    model = asked.groupBy("shard").applyInArrow(build_shard, MESSAGE)
-    told = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, MESSAGE)
+    told = _requests(rows, n).groupBy("shard").applyInArrow(answer, MESSAGE)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -290,19 +392,21 @@ def score(docs: DataFrame, out: Column) -> DataFrame:
         if not t.num_rows:
             return pa.table([pa.array([], t.schema.field("doc_id").type), pa.array([], pa.bool_()), *(pa.array([], pa.int64()) for _ in range(3)), *(pa.array([], pa.float64()) for _ in range(2))], names=names)
         c = Chunk(t.column("text").to_pylist())
-        count, weight, code = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.uint8), np.zeros(len(c.pairs), np.uint8)
+        count, weight1 = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.uint8)
+        code2, weight2, code3 = np.zeros(len(c.before), np.uint8), np.zeros(len(c.before), np.uint8), np.zeros(len(c.pair), np.uint8)
         box = {shard: unpack(data) for shard, _, _, data in inbox(answers)}
-        total = distinct = 0
-        for s, (w, p) in enumerate(c.by_shard(n)):
-            own, *counts, weights, codes = box[s]
-            total, distinct = total + int(own[0]), distinct + int(own[1])
-            count[w], weight[w], code[p] = expand(*counts), weights, codes
-        unigram = (count + 1) / (total + distinct + 1)
-        back = dequantise(weight)
-        back[weight == 0] = 1.0
-        p = dequantise(code) + back[c.before] * unigram[c.after]
+        total = distinct_words = 0
+        for s, (w, p, q) in enumerate(c.by_shard(n)):
+            own, small, places, large, weight1[w], code2[p], weight2[p], code3[q] = box[s]
+            total, distinct_words = total + int(own[0]), distinct_words + int(own[1])
+            count[w] = expand(small, places, large)
+        unigram = (count + 1) / (total + distinct_words + 1)
+        back = lambda codes: np.where(codes > 0, dequantise(codes), 1.0)
+        bigram = np.minimum(dequantise(code2) + back(weight1)[c.before] * unigram[c.after], 1.0)
+        each = bigram[c.bigram]
+        each[c.inner] = np.minimum(dequantise(code3)[c.trigram] + back(weight2)[c.bigram[c.inner - 1]] * each[c.inner], 1.0)
         per_doc = lambda x: np.add.reduceat(x, c.starts)
-        base, scored = per_doc(np.log10(unigram)[c.token]), per_doc(np.log10(np.minimum(p, 1.0))[c.bigram])
+        base, scored = per_doc(np.log10(unigram)[c.token]), per_doc(np.log10(each))
         return pa.table([t.column("doc_id"), t.column("held_out"), pa.array(c.lengths), pa.array(per_doc((count > 0).astype(np.int64)[c.token])), pa.array(np.full(t.num_rows, total)), pa.array(base), pa.array(scored)], names=names)
 
     return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

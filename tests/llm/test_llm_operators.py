@@ -814,6 +814,36 @@ def test_elias_fano():
             q = np.concatenate((v, rng.integers(0, top, 300, dtype=np.uint64)))
             assert (e.successor(q) == np.searchsorted(v, q)).all()
             assert ((e.find(q) >= 0) == np.isin(q, v)).all()
+        assert (e.values() == v).all()
+
+
+def test_queried_level_is_compact():
+    rng = np.random.default_rng(3)
+    for top in (10**9, 1 << 40, 1 << 63):
+        v = np.unique(rng.integers(0, top, 200_000, dtype=np.uint64))
+        e = lm_scoring.EliasFano.build(v)
+        assert (e.find(v) == np.arange(len(v))).all() and (e.get(np.arange(len(v))) == v).all()
+        assert 8 * e.nbytes <= len(v) * (max(0, (top // len(v)).bit_length() - 1) + 3.6)  # 2 bits a value above the low ones, ranks and padding
+        assert e.nbytes < v.nbytes
+
+
+def test_levels_from_a_mapped_file(tmp_path):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, 60) % 50).encode() for _ in range(40)]
+    c = lm_scoring.Chunk(texts)
+    counts, times2, times3 = (np.bincount(x).astype(np.uint32) for x in (c.token, c.bigram, c.trigram))
+    counts = np.pad(counts, (0, len(c.words) - len(counts)))
+    ((w, p, t),) = c.by_shard(1)
+    request = c.request(w, p, t, counts, times2, times3)
+    data = lm_scoring.Shard.build([request, request])
+    (tmp_path / "levels").write_bytes(data)
+    told = []
+    for levels in (lm_scoring.Shard(data), lm_scoring.Shard(np.memmap(tmp_path / "levels", np.uint8, "r"))):
+        told.append(levels.answer(lm_scoring.Request(request), levels.counts()))
+    assert all((x == y).all() for x, y in zip(*told, strict=True))
+    assert (lm_scoring.expand(*told[0][:3]) == 2 * counts).all()
+    seen = np.bincount(c.pair, 2 * times3, len(c.before))
+    assert (told[0][6] == lm_scoring.quantise((2 * times3 - lm_scoring.DISCOUNT) / seen[c.pair])).all()
 
 
 def test_lm_scores(spark, sf):
@@ -821,14 +851,18 @@ def test_lm_scores(spark, sf):
     got = {r.doc_id: r for r in lm_scoring.op3_lm_scoring(spark, sf).collect()}
     tokens = {i: t.encode().lower().split() + [b" end"] for i, t in texts}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    c, b, ctx, kinds = Counter(), Counter(), Counter(), Counter()
+    c, grams = Counter(), {2: Counter(), 3: Counter()}
     for i, w in tokens.items():
         if not out[i]:
             c.update(w)
-            b.update(zip([b" begin", *w], w, strict=False))
-    for (u, _), n in b.items():
-        ctx[u] += n
-        kinds[u] += 1
+            for k, seen in grams.items():
+                padded = [b" begin", *w]
+                seen.update(tuple(padded[j : j + k]) for j in range(len(padded) - k + 1))
+    ctx, kinds = Counter(), Counter()
+    for seen in grams.values():
+        for g, times in seen.items():
+            ctx[g[:-1]] += times
+            kinds[g[:-1]] += 1
     n, v = sum(c.values()), len(c)
     total = 0
     for i, w in tokens.items():
@@ -836,10 +870,15 @@ def test_lm_scores(spark, sf):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
         exact = 0.0
-        for u, x in zip([b" begin", *w], w, strict=False):
-            lam = lm_scoring.DISCOUNT * kinds[u] / ctx[u] if ctx[u] else 1.0
-            exact += math.log10((max(b[u, x] - lm_scoring.DISCOUNT, 0) / ctx[u] if ctx[u] else 0) + lam * (c[x] + 1) / (n + v + 1))
-        assert abs(r.score - exact) <= 0.02 * len(w) + 1e-9
+        padded = [b" begin", *w]
+        for j, x in enumerate(w, 1):
+            p = (c[x] + 1) / (n + v + 1)
+            for k in (2, 3):
+                u = tuple(padded[j - k + 1 : j]) if j - k + 1 >= 0 else None
+                if u in ctx:
+                    p = max(grams[k][*u, x] - lm_scoring.DISCOUNT, 0) / ctx[u] + lm_scoring.DISCOUNT * kinds[u] / ctx[u] * p
+            exact += math.log10(p)
+        assert abs(r.score - exact) <= 0.045 * len(w) + 1e-9
         total += (r.score - r.base_score) * out[i]
     assert total > 0
 
@@ -853,12 +892,14 @@ def test_lm_odd(spark, odd, empty):
 
 
 def test_requests_round_trip():
-    rng = np.random.default_rng(0)
-    w = np.sort(rng.integers(0, 2**63, 50, dtype=np.uint64))
-    of = np.sort(rng.integers(0, 50, 2000))
-    s, t, c = rng.integers(0, 2**40, 2000, dtype=np.uint64), rng.integers(0, 1000, 2000), rng.integers(0, 10**6, 50)
-    got = lm_scoring.unpack_request(lm_scoring.pack_request(w, c, of, s, t))
-    assert all((x == y).all() for x, y in zip(got, (w, c, of, s, t), strict=True))
+    c = lm_scoring.Chunk([b"a b a b c", b"", b"c a b a \xff", b"a b a b c"])
+    counts, times2, times3 = np.arange(len(c.words)), np.arange(len(c.before)) * 100, np.arange(len(c.pair)) * 1000
+    for w, p, t in c.by_shard(3):
+        r = lm_scoring.Request(c.request(w, p, t, counts, times2, times3))
+        assert (r.words == c.words[w]).all() and (r.counts == counts[w]).all() and (r.times2 == times2[p]).all() and (r.times3 == times3[t]).all()
+        assert (w[r.of2] == c.before[p]).all() and (p[r.of3] == c.pair[t]).all()
+        fp = lm_scoring.fingerprint(c.words)
+        assert (r.vocabulary[r.after2] == fp[c.after[p]]).all() and (r.vocabulary[r.after3] == fp[c.last[t]]).all()
 
 
 # embeddings
