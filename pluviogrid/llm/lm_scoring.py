@@ -29,10 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, table
-from .exchange import MESSAGE, chunked, inbox, messages, pack, split, unpack
+from .exchange import MESSAGE, chunked, messages, pack, split, unpack
 
 DISCOUNT = 0.75
-SHARD_BYTES = 16_000_000  # of text whose contexts a shard holds
+CHUNK_BYTES = 8_000_000
+SHARD_BYTES = 32_000_000  # of text whose contexts a shard holds
 STEP = 0.03  # decades between the quantised logarithms
 END, BEGIN = b" end", b" begin"  # no word holds white space
 
@@ -49,8 +50,32 @@ def dequantise(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** ((codes.astype(np.float64) - 255) * STEP), 0.0)
 
 
+def _bits_of_bytes() -> np.ndarray:
+    """Place of the k-th set bit of each byte, by 256 k + byte."""
+    set_bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    out, rank = np.zeros((8, 256), np.int64), np.cumsum(set_bits, axis=1) - 1
+    byte, bit = np.nonzero(set_bits)
+    out[rank[byte, bit], byte] = bit
+    return out.ravel()
+
+
+_BIT = _bits_of_bytes()
+_EACH, _TOP, _ODD, _TWO, _FOUR = (np.uint64(int(x * 8, 16)) for x in ("01", "80", "55", "33", "0f"))
+
+
+def select_bit(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th set bit (from 0) of each word, by sums over its bytes and a table of bytes."""
+    one, two, four, eight = (np.uint64(n) for n in (1, 2, 4, 8))
+    s = x - (x >> one & _ODD)
+    s = (s & _TWO) + (s >> two & _TWO)
+    s = (s + (s >> four) & _FOUR) * _EACH  # each byte: the set bits up to its end
+    place = np.bitwise_count((k * _EACH | _TOP) - s & _TOP).astype(np.uint64) * eight
+    rest = k - ((s << eight) >> place & np.uint64(255))
+    return place.astype(np.int64) + _BIT[(rest << eight | (x >> place & np.uint64(255))).astype(np.int64)]
+
+
 class EliasFano:
-    """A monotone sequence of uint64: low bits packed without gaps, high bits in unary, and the rank at each 512th high bit."""
+    """A monotone sequence of uint64: low bits packed without gaps, high bits in unary, and the rank at each 256th high bit."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.bits, self.low, self.high = n, bits, low, high
@@ -73,7 +98,7 @@ class EliasFano:
             over = np.flatnonzero((at & 63) + bits > 64)
             low[word[over] + 1] |= x[over] >> (np.uint64(64) - off[over])
         ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        flags = np.zeros(512 * (int(ones[-1] + 1) // 512 + 1), np.uint8)
+        flags = np.zeros(256 * (int(ones[-1] + 1) // 256 + 1), np.uint8)
         flags[ones] = 1
         return cls(n, bits, low, np.packbits(flags, bitorder="little").view(np.dtype("<u8")))
 
@@ -100,16 +125,16 @@ class EliasFano:
         """The place among the high bits of the k-th one (or zero), counted from 0."""
         if self._ranks is None:
             kind = np.uint32 if self.n < 1 << 32 else np.int64
-            self._ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high).reshape(-1, 8).sum(1, np.int64)))).astype(kind)
+            self._ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high).reshape(-1, 4).sum(1, np.int64)))).astype(kind)
         before = self._ranks.astype(np.int64)
         if not one:
-            before = np.arange(len(before)) * 512 - before
+            before = np.arange(len(before)) * 256 - before
         word = np.searchsorted(before, k, "right") - 1
         rest = k - before[word]
-        word *= 8
+        word *= 4
         flip = np.uint64(0 if one else 0xFFFFFFFFFFFFFFFF)
         bits = self.high[word] ^ flip
-        for _ in range(7):
+        for _ in range(3):
             c = np.bitwise_count(bits)
             on = rest >= c
             if not on.any():
@@ -117,14 +142,7 @@ class EliasFano:
             rest -= c * on
             word += on
             bits = self.high[word] ^ flip
-        pos = word * 64
-        for width in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(bits & np.uint64((1 << width) - 1))
-            on = rest >= c
-            rest -= c * on
-            pos += width * on
-            bits = bits >> (on * np.uint64(width))
-        return pos
+        return word * 64 + select_bit(bits, rest.astype(np.uint64))
 
     def get(self, at: np.ndarray) -> np.ndarray:
         return (self._select(at, True) - at).astype(np.uint64) << np.uint64(self.bits) | self._low(at)
@@ -136,19 +154,23 @@ class EliasFano:
         return high.astype(np.uint64) << np.uint64(self.bits) | self._low(at)
 
     def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The place of the first value >= x, the end of those with its high bits, and the low bits of x."""
+        """The place of the first value >= x, for each x; those x whose high bits some value has; and of these, whether it is x itself."""
         zeros = 64 * len(self.high) - self.n
         h = np.minimum(x >> np.uint64(self.bits), np.uint64(zeros - 1)).astype(np.int64)
-        end = self._select(h, False) - h
-        lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - h + 1, 0)
-        low, hi = x & np.uint64((1 << self.bits) - 1), end.copy()
-        todo = np.flatnonzero(lo < hi)
+        at = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - h + 1, 0)
+        here = at + h
+        some = np.flatnonzero(self.high[here >> 6] >> (here & 63).astype(np.uint64) & np.uint64(1))
+        low, lo, end = x[some] & np.uint64((1 << self.bits) - 1), at[some], self._select(h[some], False) - h[some]
+        hi, todo = end.copy(), np.arange(len(some))
         while len(todo):
             mid = (lo[todo] + hi[todo]) // 2
             less = self._low(mid) < low[todo]
             lo[todo[less]], hi[todo[~less]] = mid[less] + 1, mid[~less]
             todo = todo[lo[todo] < hi[todo]]
-        return lo, end, low
+        at[some] = lo
+        same = lo < end
+        same[same] = self._low(lo[same]) == low[same]
+        return at, some, same
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value >= x (n if there is none), for each x."""
@@ -156,12 +178,11 @@ class EliasFano:
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each x, or -1."""
-        if not self.n or not len(x):
-            return np.full(len(x), -1, np.int64)
-        at, end, low = self._search(x)
-        ok = at < end
-        ok[ok] = self._low(at[ok]) == low[ok]
-        return np.where(ok, at, -1)
+        out = np.full(len(x), -1, np.int64)
+        if self.n and len(x):
+            at, some, same = self._search(x)
+            out[some[same]] = at[some[same]]
+        return out
 
 
 def squeeze(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,9 +209,13 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, ascending, and the sum of the counts of each."""
-    found, place = distinct(np.concatenate(keys))
-    return found, np.bincount(place, np.concatenate(times), len(found)).astype(np.int64)
+    """The distinct keys, ascending, and the sum of the counts of each; the lists are emptied."""
+    k, n = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *times])
+    keys.clear(), times.clear()
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.diff(k, prepend=-1))
+    return k[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
 def smoothed(of: np.ndarray, times: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray, EliasFano]:
@@ -214,34 +239,35 @@ class Shard:
         self.weights, self.codes = (next(take), next(take)), (next(take), next(take))
 
     @staticmethod
-    def build(requests: list[bytes]) -> bytes:
-        """The levels out of what chunks counted in training texts."""
-        asked = [Request(x) for x in requests]
+    def build(requests: list) -> bytes:
+        """The levels out of what chunks counted in training texts; a request is decoded for each level, and one at a time."""
         heads, tails = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for r in asked:
-            r.trained = r.times2 > 0, r.times3 > 0
+        for r in map(Request, requests):
             used = r.counts > 0
-            used[r.of2[r.trained[0]]] = True
+            used[r.of2[r.times2 > 0]] = True
             heads.append(r.words[used])
             used = np.zeros(len(r.vocabulary), bool)
-            used[r.after2[r.trained[0]]] = True
-            used[r.after3[r.trained[1]]] = True
+            used[r.after2[r.times2 > 0]] = True
+            used[r.after3[r.times3 > 0]] = True
             tails.append(r.vocabulary[used])
-        contexts, vocabulary = distinct(np.concatenate(heads))[0], distinct(np.concatenate(tails))[0]
+        contexts, vocabulary = np.unique(np.concatenate(heads)), np.unique(np.concatenate(tails))
         count, v = np.zeros(len(contexts), np.int64), max(1, len(vocabulary))
-        none = [np.zeros(0, np.int64)]
-        keys, ids, times = list(none), [], list(none)
-        for r in asked:
+
+        def second_keys(r: Request) -> tuple[np.ndarray, np.ndarray]:
+            ids = np.searchsorted(vocabulary, r.vocabulary)
+            return np.searchsorted(contexts, r.words)[r.of2] * v + ids[r.after2], ids
+
+        keys, times = [], []
+        for r in map(Request, requests):
             known = np.flatnonzero(r.counts)
             count[np.searchsorted(contexts, r.words[known])] += r.counts[known]
-            ids.append(np.searchsorted(vocabulary, r.vocabulary))
-            r.key2 = np.searchsorted(contexts, r.words)[r.of2] * v + ids[-1][r.after2]
-            keys.append(r.key2[r.trained[0]]), times.append(r.times2[r.trained[0]])
+            trained = r.times2 > 0
+            keys.append(second_keys(r)[0][trained]), times.append(r.times2[trained])
         second, n2 = summed(keys, times)
-        keys, times = list(none), list(none)
-        for r, own in zip(asked, ids, strict=True):
-            t = r.trained[1]
-            keys.append(np.searchsorted(second, r.key2)[r.of3[t]] * v + own[r.after3[t]]), times.append(r.times3[t])
+        for r in map(Request, requests):
+            key, ids = second_keys(r)
+            trained = r.times3 > 0
+            keys.append(np.searchsorted(second, key)[r.of3[trained]] * v + ids[r.after3[trained]]), times.append(r.times3[trained])
         third, n3 = summed(keys, times)
         code2, weight1, pointers1 = smoothed(second // v, n2, len(contexts))
         code3, weight2, pointers2 = smoothed(third // v, n3, len(second))
@@ -284,6 +310,23 @@ def fingerprint(words: np.ndarray) -> np.ndarray:
     return words >> np.uint64(16)
 
 
+def seal(*arrays: np.ndarray) -> bytes:
+    """Packed arrays, compressed, behind their length."""
+    body = pack(*arrays)
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unseal(data: bytes | pa.Buffer) -> list[np.ndarray]:
+    data = pa.py_buffer(data)
+    return unpack(pa.decompress(data.slice(8), decompressed_size=int(np.frombuffer(data, np.int64, 1)[0]), codec="zstd"))
+
+
+def inbox(table: pa.Table) -> list[tuple[int, int, pa.Buffer]]:
+    """Shard, chunk and data (not copied) of the messages of a table, in a fixed order."""
+    data = [x.as_buffer() for part in table.column("data").chunks for x in part]
+    return sorted(zip(table.column("shard").to_pylist(), table.column("chunk").to_pylist(), data, strict=True), key=lambda x: x[:2])
+
+
 class Chunk:
     """Distinct words (ascending hashes), bigrams and trigrams of some texts, and the place of each token's own; trigrams are of tokens that follow another (inner)."""
 
@@ -331,14 +374,14 @@ class Chunk:
         second = np.searchsorted(w, self.before[p]) * v + ids[self.after[p]]
         third = np.searchsorted(p, self.pair[t]) * v + ids[self.last[t]]
         parts = [x for values in (self.words[w], vocabulary, second, third) for x in EliasFano.build(values).arrays()]
-        return pack(*parts, *squeeze(counts[w]), *squeeze(times2[p]), *squeeze(times3[t]))
+        return seal(*parts, *squeeze(counts[w]), *squeeze(times2[p]), *squeeze(times3[t]))
 
 
 class Request:
     """A chunk's request, decoded: words, vocabulary; bigrams and trigrams as the place of their context (of) and the id of their word (after); counts."""
 
-    def __init__(self, data: bytes):
-        a = unpack(data)
+    def __init__(self, data: bytes | pa.Buffer):
+        a = unseal(data)
         self.words, self.vocabulary, second, third = (EliasFano.of(a[i : i + 3]).values() for i in (0, 3, 6, 9))
         v = max(1, len(self.vocabulary))
         second, third = second.astype(np.int64), third.astype(np.int64)
@@ -350,16 +393,16 @@ class Request:
 def build_shard(rows: pa.Table) -> pa.Table:
     """One row with the levels of the shard, out of all that chunks ask and count."""
     box = inbox(rows)
-    return messages([(box[0][0], -1, 2, Shard.build([data for *_, data in box]))])
+    return messages([(box[0][0], -1, 2, Shard.build([data for _, _, data in box]))])
 
 
 def answer(rows: pa.Table) -> pa.Table:
     """For each chunk: tokens and distinct tokens of the shard in training, counts and codes of what it asked of the shard's levels."""
     box = inbox(rows)
-    levels = Shard(Shard.build([data for *_, data in box]))
+    levels = Shard(Shard.build([data for _, _, data in box]))
     counts = levels.counts()
     own = np.array([counts.sum(), (counts > 0).sum()], np.int64)
-    return messages([(shard, chunk, 1, pack(own, *levels.answer(Request(data), counts))) for shard, chunk, _, data in box])
+    return messages([(shard, chunk, 1, seal(own, *levels.answer(Request(data), counts))) for shard, chunk, data in box])
 
 
 def _requests(rows: DataFrame, shards: int) -> DataFrame:
@@ -377,13 +420,13 @@ def _requests(rows: DataFrame, shards: int) -> DataFrame:
 
 def train(docs: DataFrame, out: Column) -> DataFrame:
     """The model of the rows of docs that `out` does not hold out: a message with the levels of each shard."""
-    rows, n = chunked(docs, ["doc_id", out.alias("held_out")], shard_bytes=SHARD_BYTES)
+    rows, n = chunked(docs, ["doc_id", out.alias("held_out")], chunk_bytes=CHUNK_BYTES, shard_bytes=SHARD_BYTES)
     return _requests(rows, n).groupBy("shard").applyInArrow(build_shard, MESSAGE)
 
 
 def score(docs: DataFrame, out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, by the model of the rows not held out."""
-    rows, n = chunked(docs, ["doc_id", out.alias("held_out")], shard_bytes=SHARD_BYTES)
+    rows, n = chunked(docs, ["doc_id", out.alias("held_out")], chunk_bytes=CHUNK_BYTES, shard_bytes=SHARD_BYTES)
     told = _requests(rows, n).groupBy("shard").applyInArrow(answer, MESSAGE)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -394,7 +437,7 @@ def score(docs: DataFrame, out: Column) -> DataFrame:
         c = Chunk(t.column("text").to_pylist())
         count, weight1 = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.uint8)
         code2, weight2, code3 = np.zeros(len(c.before), np.uint8), np.zeros(len(c.before), np.uint8), np.zeros(len(c.pair), np.uint8)
-        box = {shard: unpack(data) for shard, _, _, data in inbox(answers)}
+        box = {shard: unseal(data) for shard, _, data in inbox(answers)}
         total = distinct_words = 0
         for s, (w, p, q) in enumerate(c.by_shard(n)):
             own, small, places, large, weight1[w], code2[p], weight2[p], code3[q] = box[s]
