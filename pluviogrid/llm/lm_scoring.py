@@ -35,6 +35,7 @@ DISCOUNT = 0.75
 CHUNK_BYTES = 8_000_000
 SHARD_BYTES = 32_000_000  # of text whose contexts a shard holds
 STEP = 0.03  # decades between the quantised logarithms
+WORDS = 300_000  # whose hashes a worker remembers
 END, BEGIN = b" end", b" begin"  # no word holds white space
 
 _words = WordHash()
@@ -75,7 +76,7 @@ def select_bit(x: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence of uint64: low bits packed without gaps, high bits in unary, and the rank at each 256th high bit."""
+    """A monotone sequence of uint64: low bits packed without gaps, high bits in unary after a first 0, and the rank at each 256th high bit."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.bits, self.low, self.high = n, bits, low, high
@@ -97,8 +98,8 @@ class EliasFano:
             low[word[first]] = np.bitwise_or.reduceat(x << off, first)
             over = np.flatnonzero((at & 63) + bits > 64)
             low[word[over] + 1] |= x[over] >> (np.uint64(64) - off[over])
-        ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        flags = np.zeros(256 * (int(ones[-1] + 1) // 256 + 1), np.uint8)
+        ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(1, n + 1)
+        flags = np.zeros(256 * (int(ones[-1] + 2) // 256 + 1), np.uint8)  # two 0 bits at the end at least
         flags[ones] = 1
         return cls(n, bits, low, np.packbits(flags, bitorder="little").view(np.dtype("<u8")))
 
@@ -145,22 +146,22 @@ class EliasFano:
         return word * 64 + select_bit(bits, rest.astype(np.uint64))
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        return (self._select(at, True) - at).astype(np.uint64) << np.uint64(self.bits) | self._low(at)
+        return (self._select(at, True) - at - 1).astype(np.uint64) << np.uint64(self.bits) | self._low(at)
 
     def values(self) -> np.ndarray:
         """The whole sequence, decoded."""
         at = np.arange(self.n)
-        high = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - at
+        high = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little").view(bool)) - at - 1
         return high.astype(np.uint64) << np.uint64(self.bits) | self._low(at)
 
     def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The place of the first value >= x, for each x; those x whose high bits some value has; and of these, whether it is x itself."""
         zeros = 64 * len(self.high) - self.n
-        h = np.minimum(x >> np.uint64(self.bits), np.uint64(zeros - 1)).astype(np.int64)
-        at = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - h + 1, 0)
-        here = at + h
-        some = np.flatnonzero(self.high[here >> 6] >> (here & 63).astype(np.uint64) & np.uint64(1))
-        low, lo, end = x[some] & np.uint64((1 << self.bits) - 1), at[some], self._select(h[some], False) - h[some]
+        h = np.minimum(x >> np.uint64(self.bits), np.uint64(zeros - 2)).astype(np.int64)  # no value has the last one
+        here = self._select(h, False)
+        at, here = here - h, here + 1
+        some = np.flatnonzero((self.high[here >> 6] >> (here & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+        low, lo, end = x[some] & np.uint64((1 << self.bits) - 1), at[some], self._select(h[some] + 1, False) - h[some] - 1
         hi, todo = end.copy(), np.arange(len(some))
         while len(todo):
             mid = (lo[todo] + hi[todo]) // 2
@@ -208,6 +209,14 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], place
 
 
+def ascending(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, ascending, and the sum of the counts of each; the lists are emptied."""
     k, n = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *times])
@@ -250,23 +259,19 @@ class Shard:
             used[r.after2[r.times2 > 0]] = True
             used[r.after3[r.times3 > 0]] = True
             tails.append(r.vocabulary[used])
-        contexts, vocabulary = np.unique(np.concatenate(heads)), np.unique(np.concatenate(tails))
+        contexts, vocabulary = ascending(np.concatenate(heads)), ascending(np.concatenate(tails))
         count, v = np.zeros(len(contexts), np.int64), max(1, len(vocabulary))
-
-        def second_keys(r: Request) -> tuple[np.ndarray, np.ndarray]:
-            ids = np.searchsorted(vocabulary, r.vocabulary)
-            return np.searchsorted(contexts, r.words)[r.of2] * v + ids[r.after2], ids
-
-        keys, times = [], []
+        keys, times, places = [], [], []
         for r in map(Request, requests):
-            known = np.flatnonzero(r.counts)
-            count[np.searchsorted(contexts, r.words[known])] += r.counts[known]
-            trained = r.times2 > 0
-            keys.append(second_keys(r)[0][trained]), times.append(r.times2[trained])
+            known, trained = np.flatnonzero(r.counts), r.times2 > 0
+            first, ids = np.searchsorted(contexts, r.words), np.searchsorted(vocabulary, r.vocabulary)
+            count[first[known]] += r.counts[known]
+            keys.append(first[r.of2[trained]] * v + ids[r.after2[trained]]), times.append(r.times2[trained])
+            places.append((first.astype(np.int32), ids.astype(np.int32)))  # a shard is small
         second, n2 = summed(keys, times)
-        for r in map(Request, requests):
-            key, ids = second_keys(r)
+        for r, (first, ids) in zip(map(Request, requests), places, strict=True):
             trained = r.times3 > 0
+            key = first[r.of2].astype(np.int64) * v + ids[r.after2]
             keys.append(np.searchsorted(second, key)[r.of3[trained]] * v + ids[r.after3[trained]]), times.append(r.times3[trained])
         third, n3 = summed(keys, times)
         code2, weight1, pointers1 = smoothed(second // v, n2, len(contexts))
@@ -331,16 +336,17 @@ class Chunk:
     """Distinct words (ascending hashes), bigrams and trigrams of some texts, and the place of each token's own; trigrams are of tokens that follow another (inner)."""
 
     def __init__(self, texts: list[bytes]):
-        tokens, lengths, part = [], np.zeros(len(texts), np.int64), []
+        tokens, lengths, part = [], [], []
         for i, t in enumerate(texts):
             w = t.lower().split()
-            w.append(END)
-            lengths[i] = len(w)
+            lengths.append(len(w) + 1)
             part += w
+            part.append(END)
             if len(part) > 50_000 or i + 1 == len(texts):
-                _words.forget()
+                _words.forget(WORDS)
                 tokens.append(_words.of(part))
                 part = []
+        lengths = np.array(lengths, np.int64)
         h = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
         self.lengths = lengths
         self.starts = np.cumsum(lengths) - lengths

@@ -806,12 +806,12 @@ def test_compact_windows_cover_every_start():
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
-    for n, top in [(0, 1), (1, 1), (5, 3), (1000, 1 << 60), (5000, 2000), (3000, 10**7), (100, 2**64 - 1)]:
+    for n, top in [(0, 1), (1, 1), (5, 3), (1000, 1 << 60), (5000, 2000), (3000, 10**7), (100, 2**64 - 1), *((n, n) for n in range(120, 140)), *((n, 3) for n in range(240, 260))]:
         v = np.sort(rng.integers(0, top, n, dtype=np.uint64))
         e = lm_scoring.EliasFano.of(exchange.unpack(exchange.pack(*lm_scoring.EliasFano.build(v).arrays())))
         assert (e.get(np.arange(n)) == v).all()
         if n:
-            q = np.concatenate((v, rng.integers(0, top, 300, dtype=np.uint64)))
+            q = np.concatenate((v, rng.integers(0, top, 300, dtype=np.uint64), np.arange(top, top + 3, dtype=np.uint64) if top < 1 << 62 else v))
             assert (e.successor(q) == np.searchsorted(v, q)).all()
             assert ((e.find(q) >= 0) == np.isin(q, v)).all()
         assert (e.values() == v).all()
