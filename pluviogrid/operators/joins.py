@@ -89,11 +89,12 @@ def within_distance(a: DataFrame, b: DataFrame, keys: list[str], metres: float)
 
 
 def as_of_nearest(a: DataFrame, b: DataFrame, keys: list[str], names: list[str], offset_hours: int, tolerance_hours: int, ts: str = "ts") -> DataFrame:
-    """For each row of a (named by names), b's row of the same keys nearest in time to ts + offset; joined on buckets of the tolerance."""
-    sec = lambda c: F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
-    width = tolerance_hours * 3600
-    left = a.withColumn("__t", sec(F.col(ts)) + offset_hours * 3600).withColumn("__d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("__b", F.floor(F.col("__t") / width) + F.col("__d")).drop("__d")
-    right = b.select(*keys, F.col(ts).alias("__bts"), sec(F.col(ts)).alias("__s"), F.col("value").alias("near_value")).withColumn("__b", F.floor(F.col("__s") / width))
+    """For each row of a (named by names), b's row of the same keys nearest in time to ts + offset, the earlier of two; times count to the microsecond; joined on buckets of the tolerance."""
+    micro = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    hour = 3_600_000_000
+    width = tolerance_hours * hour
+    left = a.withColumn("__t", micro(F.col(ts)) + F.lit(offset_hours * hour)).withColumn("__d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("__b", F.floor(F.col("__t") / width) + F.col("__d")).drop("__d")
+    right = b.select(*keys, F.col(ts).alias("__bts"), micro(F.col(ts)).alias("__s"), F.col("value").alias("near_value")).withColumn("__b", F.floor(F.col("__s") / width))
     d = left.join(right, [*keys, "__b"]).withColumn("__gap", F.abs(F.col("__s") - F.col("__t"))).where(F.col("__gap") <= width)
     return d.groupBy(*keys, *names).agg(F.min(F.struct("__gap", "__bts", "near_value")).alias("m")).select(*keys, *names, F.col("m.__bts").alias("near_ts"), F.col("m.near_value").alias("near_value"))
 

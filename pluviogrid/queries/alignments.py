@@ -68,10 +68,16 @@ def _(s, d):
     return joins.within_distance(a, b, ["k"], 150_000.0)
 
 
+def _whole_seconds(c):
+    """The nearest second of a time, the even one of two, as DuckDB casts numbers to integers."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", F.rint(F.timestamp_diff("MICROSECOND", zero, F.col(c)) / 1e6).cast("long"), zero)
+
+
 @query("j13_as_of_nearest", "cell:i event_id:i near_ts:t near_value:d", f"""WITH {HOURLY}, a AS (SELECT event_id, user_id % 25 AS cell, epoch(ts)::BIGINT - 10800 AS t FROM events WHERE event_type = 'error'),
 z AS (SELECT a.cell, event_id, h.ts AS near_ts, h.value AS near_value, row_number() OVER (PARTITION BY a.cell, event_id ORDER BY abs(epoch(h.ts)::BIGINT - t), h.ts) AS n FROM a JOIN hourly h ON h.cell = a.cell AND abs(epoch(h.ts)::BIGINT - t) <= 7200) SELECT * FROM z WHERE n = 1""")
 def _(s, d):
-    e = table(s, d, "events").where("event_type = 'error'").select("event_id", (F.col("user_id") % 25).alias("cell"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"))
+    e = table(s, d, "events").where("event_type = 'error'").select("event_id", (F.col("user_id") % 25).alias("cell"), _whole_seconds("ts").alias("ts"))
     return joins.as_of_nearest(e, hourly(s, d), ["cell"], ["event_id"], -3, 2)
 
 
