@@ -537,6 +537,32 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch, block):
     assert got == brute_components({i: shingles(t) for i, t in enumerate(texts)}, 85)
 
 
+@pytest.mark.parametrize("family", [0, 64])
+def test_large_overlapping_buckets_ship_a_set_for_each_block(spark, monkeypatch, family):
+    """Near copies that share most of their large buckets: a set goes out by blocks of their family, not by buckets and bands; dealt out, components are the same."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 10)
+    monkeypatch.setattr(minhash_dedup, "FAMILY", family)
+    made, real = [], minhash_dedup.cut
+
+    def spy(df):
+        out = real(df)
+        if "own" in out.columns:
+            made.append(out.selectExpr("sum(nb)").first()[0])
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "cut", spy)
+    rng = random.Random(4)
+    base, texts = words(rng, 150), []
+    for _ in range(60):
+        own = list(base)
+        for k in rng.sample(range(150), 3):
+            own[k] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame(spark, texts), 85).collect()}
+    assert got == brute_components({i: shingles(t) for i, t in enumerate(texts)}, 85)
+    assert made and (made[0] > 4 * 60 * 6 if family == 0 else made[0] <= 3 * 60 * 6)
+
+
 def test_bayesian_bounds():
     for percent in (80, 85):
         rows = minhash_dedup.band_rows(percent)
