@@ -563,6 +563,25 @@ def test_large_overlapping_buckets_ship_a_set_for_each_block(spark, monkeypatch,
     assert made and (made[0] > 4 * 60 * 6 if family == 0 else made[0] <= 3 * 60 * 6)
 
 
+def test_node_bounds_and_windows_without_them():
+    """Bounds are those of a search from each node; windows are the same whether or not bounds are asked for."""
+    rng = np.random.default_rng(3)
+    for values in (rng.permutation(300), np.arange(300), np.arange(300)[::-1]):
+        docs, pivots = np.repeat(np.arange(3), 100), np.cumsum(rng.integers(1, 4, 300))
+        begin, end = np.array([pivots[docs == d].min() - 1 for d in range(3)]), np.array([pivots[docs == d].max() + 1 for d in range(3)])
+        left, right = passage_dedup.node_bounds(values, pivots, docs, begin, end)
+        for i in range(300):
+            less = np.flatnonzero((docs == docs[i]) & (values < values[i]))
+            before, after = less[less < i], less[less > i]
+            assert left[i] == (pivots[before[-1]] + 1 if len(before) else begin[docs[i]]) and right[i] == (pivots[after[0]] - 1 if len(after) else end[docs[i]])
+    r = random.Random(3)
+    texts = [" ".join(words(r, 300)).encode() for _ in range(5)]
+    a, b = (passage_dedup.Windows([*range(5)], texts, 46, 0, bounds) for bounds in (True, False))
+    for name in ("value", "second", "third", "fourth", "doc", "pivot", "first", "last", "function"):
+        assert (getattr(a, name) == getattr(b, name)).all()
+    assert not b.high.any() and a.high.any()
+
+
 def test_bayesian_bounds():
     for percent in (80, 85):
         rows = minhash_dedup.band_rows(percent)
