@@ -798,6 +798,31 @@ def test_passages_template_and_variable_words(spark):
     assert len(want & linked_pairs(rows)) >= 0.9 * len(want), (len(want), len(want & linked_pairs(rows)))
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_passages_all_pairs_of_a_group(spark, monkeypatch, block):
+    """Documents with windows of one signature that are alike are in one class, however many others have it; by brute force over all pairs of each group."""
+    monkeypatch.setattr(passage_dedup, "BLOCK", block, raising=False)
+    rng = random.Random(31)
+    template, tails, texts = words(rng, 24), [words(rng, 16) for _ in range(10)], []
+    for _ in range(240):
+        a, b = rng.sample(range(10), 2)
+        texts.append(" ".join([*words(rng, 8, 10**6), *tails[a], f"n{rng.randrange(9)}", *template, f"m{rng.randrange(9)}", *tails[b], f"k{rng.randrange(9)}", *words(rng, 8, 10**6)]))
+    w = passage_dedup.Windows([*range(240)], [t.encode() for t in texts], 46, 0)
+    groups, want = defaultdict(set), set()
+    for value, d, a, b in zip(w.value.tolist(), w.doc.tolist(), w.first.tolist(), w.last.tolist(), strict=True):
+        groups[value].add((d, a, b))
+    for g in groups.values():
+        for i, a, b in g:
+            for j, c, d in g:
+                if i > j and (i, j) not in want and passage_dedup.alike(w.seqs[i][a : b + 46], w.seqs[j][c : d + 46], 46, 80):
+                    want.add((i, j))
+    rows = passage_dedup.repeated_passages(frame(spark, texts)).collect()
+    assert len(want) > 20 and not want - linked_pairs(rows), (len(want), len(want - linked_pairs(rows)))
+    for r in rows:
+        x, y = (shingles(" ".join(texts[i].split()[a:b])) for i, a, b in ((r.doc_id, r.first_word, r.end_word), (r.other_doc_id, r.other_first_word, r.other_end_word)))
+        assert r.other_doc_id < r.doc_id and min(r.end_word - r.first_word, r.other_end_word - r.other_first_word) >= 50 and abs(len(x & y) / len(x | y) - r.similarity) < 1e-9 and r.similarity >= 0.8
+
+
 def test_passages_of_one_document_and_one_id(spark):
     rng = random.Random(23)
     p, q = (" ".join(words(rng, 70)) for _ in range(2))
