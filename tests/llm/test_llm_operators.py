@@ -445,6 +445,27 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [50_000, 20])
+def test_components_use_as_many_tasks_as_links_need(spark, monkeypatch, rows):
+    """Tables of a few links take one part of a checkpoint a round, however many shuffle partitions there are; components are the same."""
+    from pluviogrid.llm import components
+
+    made, real = [], components.cut
+    monkeypatch.setattr(components, "TASK_ROWS", rows, raising=False)
+    monkeypatch.setattr(components, "cut", lambda d: made.append(real(d)) or made[-1])
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(keep, ("31", "false"), strict=True):
+            spark.conf.set(k, v)
+        links = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(100, i) for i in range(101, 140)]
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 20 * 20 for i in range(60)} | {i: 100 for i in range(100, 140)}
+    assert len(made) > 1 and max(d.rdd.getNumPartitions() for d in made[1:]) <= (1 if rows == 50_000 else 5)
+
+
 # near-duplicates
 
 
