@@ -844,6 +844,33 @@ def test_passages_all_pairs_of_a_group(spark, monkeypatch, block):
         assert r.other_doc_id < r.doc_id and min(r.end_word - r.first_word, r.other_end_word - r.other_first_word) >= 50 and abs(len(x & y) / len(x | y) - r.similarity) < 1e-9 and r.similarity >= 0.8
 
 
+def test_regions_of_runs_are_turned_down_at_once():
+    """Pairs that share most places but no passage, as runs of one word do, are told by arrays; none that is alike is lost."""
+    rng = random.Random(32)
+    texts = [" ".join(["to"] * (k := rng.randrange(40, 50)) + [f"w{i % 9}"] * (50 - k)).encode() for i in range(60)]
+    seqs = passage_dedup.sequences(texts)
+    u, v = np.nonzero(np.triu(np.ones((60, 60), bool), 1))
+    may = passage_dedup.may_be_alike(passage_dedup.shared_counts(seqs)[-1], v, u, 46, 8.0)
+    want = np.array([bool(passage_dedup.alike(seqs[j], seqs[i], 46, 80)) for i, j in zip(u, v, strict=True)])
+    assert want.any() and not (want & ~may).any() and (may & ~want).sum() <= 0.01 * len(u), (want.sum(), may.sum())
+
+
+def test_regions_joined_by_known_links_are_not_compared():
+    """Regions that links joined already give no further ones; a region that no link covers as a whole is still compared."""
+    rng = random.Random(33)
+    text = words(rng, 60)
+    raw = [" ".join([*text[:20], f"x{i}", *text[21:]]).encode() for i in range(4)]
+    n = np.arange(4)
+    box = [np.full(4, 7, np.uint64), *(np.zeros(4, np.uint16) for _ in range(3)), n.astype(np.int32), np.zeros(4, np.int32), np.full(4, 60, np.int32), n, n << 32, np.zeros(4, np.int32), np.array([len(t) for t in raw], np.int32), np.frombuffer(b"".join(raw), np.uint8)]
+    link = lambda i, end: (i, i << 32, 0, end, 0, 0, 0, end, 0.9)
+    assert len(passage_dedup.compared([box], 46, 80, [])) == 3
+    assert passage_dedup.compared([box], 46, 80, [link(1, 60), link(2, 60), link(3, 60)]) == []
+    rows = passage_dedup.compared([box], 46, 80, [link(1, 60), link(2, 60), link(3, 59)])
+    assert len(rows) == 1 and 3 in rows[0][:1] + rows[0][4:5]
+    label = passage_dedup._Classes([link(1, 60), link(2, 60), (5, 5 << 32, 0, 50, 4, 4 << 32, 0, 50, 1.0)], 50).of(np.array([0, 1, 2, 4, 5, 6]) << 32, np.zeros(6, int), np.full(6, 50))
+    assert label[0] == label[1] == label[2] >= 0 and label[3] == label[4] >= 0 and label[3] != label[0] and label[5] == -1
+
+
 def test_passages_of_one_document_and_one_id(spark):
     rng = random.Random(23)
     p, q = (" ".join(words(rng, 70)) for _ in range(2))
