@@ -855,6 +855,25 @@ def test_regions_of_runs_are_turned_down_at_once():
     assert want.any() and not (want & ~may).any() and (may & ~want).sum() <= 0.01 * len(u), (want.sum(), may.sum())
 
 
+def test_regions_are_sent_under_their_whole_value():
+    """Groups are told apart by all 64 bits, and a region's words are those of its window."""
+    rng = random.Random(34)
+    w = passage_dedup.Windows([*range(3)], [" ".join(words(rng, 90)).encode() for _ in range(3)], 46, 2)
+    first = np.arange(len(w.value))
+    parts = [first[::2], first[1::2]]
+    box = [(s, 2, 5, passage_dedup.pack(np.arange(len(p), dtype=np.uint32), np.ones(len(p), np.uint16))) for s, p in enumerate(parts)]
+    apart = [t.decode().split() for t in w.texts]
+    sent = passage_dedup.sent_regions(w, first, np.zeros(len(first), np.uint32), parts, box, 2, 2, 46, lambda d: [x.encode() for x in apart[d]])
+    assert [r[:3] for r in sent] == [(2, 2, 6)]
+    value, _, _, _, piece, start, size, _, uid, begin, length, raw = passage_dedup.unpack(sent[0][3])
+    ends, got = np.cumsum(length), set()
+    for v, p, a, n in zip(value.tolist(), piece.tolist(), start.tolist(), size.tolist(), strict=True):
+        x = raw[ends[p] - length[p] : ends[p]].tobytes().decode().split()
+        got.add((v, int(uid[p]), a, tuple(x[a - begin[p] : a - begin[p] + n])))
+    want = {(int(v), int(w.uids[d]), int(a), tuple(apart[d][a : b + 50])) for v, d, a, b in zip(w.value, w.doc, w.first, w.last, strict=True)}
+    assert got == want and min(v for v, *_ in got) < 1 << 63 <= max(v for v, *_ in got)
+
+
 def test_regions_joined_by_known_links_are_not_compared():
     """Regions that links joined already give no further ones; a region that no link covers as a whole is still compared."""
     rng = random.Random(33)
